@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from . import consistent_form, encoding_repair
+from . import consistent_form, encoding_repair, sentences
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,16 @@ def p3_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_form.consistent_form(spans).dropDuplicates(["doc", "page_num", "span_seq"])
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_ends(_t(spark, sf_dir, "text_lines"), _t(spark, sf_dir, "sent_docs"))
+
+
+def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of every document, by the number of sentence ends."""
+    found = sentences.sentence_ends(_t(spark, sf_dir, "text_lines"))
+    return found.groupBy("doc").agg(F.count("*").alias("sentences"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     here = globals()
     return {name: here[name] for name in sorted(here) if name[0] == "p" and name[1].isdigit()}
