@@ -38,9 +38,10 @@ def with_blocks(lines: DataFrame, at_pages: bool, size: int = BLOCK) -> DataFram
     b = b.withColumn("_turn", F.col("blank") & (before != after)).withColumn("_gap", F.col("blank") & (before == after))
     whole = Window.partitionBy("doc", "bucket")
     first = lambda flag: F.min(F.when(F.col(flag), F.col("line_no"))).over(whole)
-    b = b.withColumn("_cut", F.coalesce(first("_turn"), first("_gap")) if at_pages else first("_gap")).drop("_turn", "_gap")
+    cut = F.coalesce(first("_turn"), first("_gap")) if at_pages else first("_gap")
+    b = b.withColumn("_cut", F.when(F.col("bucket") == 0, F.lit(0)).otherwise(cut)).drop("_turn", "_gap")
     buckets = b.groupBy("doc", "bucket").agg(F.max("_cut").alias("_c"))
     past = Window.partitionBy("doc").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    held = buckets.select("doc", "bucket", F.coalesce(F.last(F.when(F.col("_c").isNotNull(), F.col("bucket")), True).over(past), F.lit(-1)).alias("_held"))
+    held = buckets.select("doc", "bucket", F.coalesce(F.last(F.when(F.col("_c").isNotNull(), F.col("bucket")), True).over(past), F.lit(0)).alias("_held"))
     out = b.join(held, ["doc", "bucket"])
     return out.withColumn("block", F.when(F.col("line_no") >= F.col("_cut"), F.col("bucket")).otherwise(F.col("_held"))).drop("bucket", "_cut", "_held")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from . import consistent_form, encoding_repair, sentences
+from . import chunking, consistent_form, encoding_repair, sentences
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,14 @@ def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc").agg(F.count("*").alias("sentences"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_pieces(spark, sf_dir).select("profile", "doc").distinct()
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.pieces(_t(spark, sf_dir, "text_lines"), _t(spark, sf_dir, "chunk_limits"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     here = globals()
     return {name: here[name] for name in sorted(here) if name[0] == "p" and name[1].isdigit()}
