@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from . import chunking, consistent_form, encoding_repair, sentences
+from . import chunking, consistent_form, encoding_repair, keyword_spam, sentences
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,14 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.pieces(_t(spark, sf_dir, "text_lines"), _t(spark, sf_dir, "chunk_limits"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_pages(spark, sf_dir).where("stuffed").select("doc_id").distinct()
+
+
+def p8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword_spam.keyword_spam(_t(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     here = globals()
     return {name: here[name] for name in sorted(here) if name[0] == "p" and name[1].isdigit()}
