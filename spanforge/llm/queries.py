@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from . import chunking, consistent_form, encoding_repair, keyword_spam, sentences
+from . import chunking, consistent_form, encoding_repair, keyword_spam, mixing, packing, sentences
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,22 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.pieces(_t(spark, sf_dir, "text_lines"), _t(spark, sf_dir, "chunk_limits"))
 
 
+def p6_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.containers(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "pack_bins"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p6_assigned(spark, sf_dir), _t(spark, sf_dir, "pack_bins"))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_pages(spark, sf_dir).where("stuffed").select("doc_id").distinct()
 
