@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from . import chunking, consistent_form, encoding_repair, keyword_spam, mixing, packing, sentences
+from . import chunking, consistent_form, encoding_repair, keyword_spam, mixing, packing, quality, sentences
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_repair.repair_spans(_t(spark, sf_dir, "text_spans"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_quality(spark, sf_dir).where("kind <> 'prose'").select("doc", "kind")
+
+
+def p2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.document_quality(_t(spark, sf_dir, "text_lines"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _t(spark, sf_dir, "text_spans")
     keys = ["doc", "page_num", "span_seq"]
