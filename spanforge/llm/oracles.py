@@ -4,4 +4,8 @@ from __future__ import annotations
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    too_long = """
+      WITH l AS (SELECT DISTINCT doc, line_no, coalesce(array_to_string(list_transform(spans, lambda s: coalesce(s.text, '')), ' '), '') AS text FROM text_lines),
+      s AS (SELECT doc, sum(length(text) + 1) AS n FROM l GROUP BY doc)
+      SELECT profile, doc FROM s JOIN chunk_limits ON n > max_chars"""
+    return {"p5_found": too_long}
