@@ -147,12 +147,13 @@ def stuffed_windows(w: Windows, auto: np.ndarray) -> np.ndarray:
     url, num = w.inside(w.kind == 2) / w.width, w.inside(w.kind == 3) / w.width
     linked = w.inside(w.sizes * (w.kind == 2)) / np.maximum(1, w.inside(w.sizes))
     strong = (auto >= 0.40) | (recur >= 0.80)
-    bare = w.func <= np.where(strong, 0.10, 0.05)
+    spoken = w.inside(w.kind == 1) / w.width
+    bare = (w.func <= np.where(strong, 0.10, 0.05)) & (spoken <= 0.34)
     tabular = (num >= 0.30) & (url < 0.08)
     regular = (recur >= 0.55) | (auto >= 0.28) & (recur >= 0.40)
     links = (url >= 0.10) | (linked >= 0.5) & (url > 0)
     listed, ends = w.inside((w.marks & 1) > 0) / w.width, w.inside((w.marks & 2) > 0) / w.width
-    nouns = (w.func <= 0.03) & (w.inside(w.kind == 1) / w.width <= 0.10) & (listed >= 0.25) & (ends <= 0.05) & (num < 0.15)
+    nouns = (w.func <= 0.03) & (spoken <= 0.10) & (listed >= 0.25) & (ends <= 0.05) & (num < 0.15)
     return (bare & ~tabular & (regular | links)) | nouns
 
 

@@ -3,7 +3,7 @@
 Every place where a sentence may end is tagged boundary or inside by a linear-chain model: a
 weight for each feature of the place and for each pair of neighbouring tags, trained with the
 averaged structured perceptron and decoded with Viterbi. Labels for training come from the
-corpus itself: paragraph ends are boundaries, decimals and lower-case continuations are not;
+corpus itself, beside a few paragraphs marked by hand: paragraph ends are boundaries, decimals and lower-case continuations are not;
 places that are left open take the tags the model finds likeliest under those that are known.
 For Thai, which writes no period, the model learns from text whose blanks were stripped: where
 a blank stood is a boundary, everywhere else is inside; it then judges line breaks, where the
@@ -104,7 +104,7 @@ def _punctuated(text: str, m: re.Match) -> Place:
     elif low in MAY_CLOSE:
         kind = "may"
     elif low in BEFORE_NAME:
-        kind = "abbr" + ("_unit" if NUMBER.match(prior_word) and low in {"m", "mm", "s", "h", "d", "g", "p"} else "")
+        kind = "abbr" + ("_unit" if NUMBER.match(prior_word) and low in {"m", "mm", "s", "h", "d", "g", "p", "см"} else "")
     elif low.replace(".", "").isalpha() and "." in low:
         kind = "dotted"
     else:
@@ -113,10 +113,11 @@ def _punctuated(text: str, m: re.Match) -> Place:
     lead = opened > 0 and text[:opened].rstrip()[-1:] in (":", "：")
     quote = "no" if not closed else "lead" if lead else "quote" if opened >= 0 and run.rstrip()[-1] in "”“»」』\"" else "closed"
     dots = "dots" if run.startswith("...") or "…" in run else "." if term in ".．｡" else "mark"
+    wrapped = broken and dots == "." and nxt == "digit" and word[-1:].isdigit() and bool(CJK.search(text[max(0, m.start() - 12) : end + 12]))
     cjk = "cjk" if term in "。！？｡" or (word and CJK.match(word[-1])) else "alpha"
     f = [
         "bias", f"dots={dots}", f"kind={kind}", f"next={nxt}", f"quote={quote}", f"{dots}|{kind}|{nxt}", f"{quote}|{nxt}|{cjk}", f"{dots}|{kind}|{nxt}|{quote}|{spaced}",
-        f"word={low[-12:]}", f"after={next_word[:12]}", f"{kind}|{next_word in MONTHS}", f"first={first}|{kind}", f"spaced={spaced}|{cjk}|{nxt}", f"broken={broken}", f"{cjk}|{dots}|{quote}",
+        f"word={low[-12:]}", f"after={next_word[:12]}", f"{kind}|{next_word in MONTHS}", f"first={first}|{kind}", f"spaced={spaced}|{cjk}|{nxt}", f"broken={broken}", f"wrapped={wrapped}", f"{cjk}|{dots}|{quote}",
     ]
     # what is sure without a model
     label: int | None = None
@@ -124,6 +125,8 @@ def _punctuated(text: str, m: re.Match) -> Place:
         label = 1
     elif cjk == "cjk" and term in "。！？｡":
         label = 1 if not closed or quote == "lead" or nxt in ("open", "end") else 0
+    elif wrapped:
+        label = 0  # a line break within a decimal, in scripts that break anywhere
     elif not spaced:
         label = 0 if dots == "." and (nxt in ("digit", "low", "up", "other")) else None
     elif first and kind == "num":
@@ -199,7 +202,7 @@ class Tagger:
             tag = came[tag]
         return tags[::-1]
 
-    def fit(self, data: list[list[Place]], rounds: int = 5, seed: int = 3) -> "Tagger":
+    def fit(self, data: list[list[Place]], rounds: int = 7, seed: int = 3) -> "Tagger":
         """Averaged structured perceptron; open labels take the likeliest tags the known ones allow."""
         total: dict[str, float] = defaultdict(float)
         w: dict[str, float] = defaultdict(float)
@@ -243,6 +246,44 @@ def stripped_thai(line: str, rng: random.Random) -> list[Place]:
     return out
 
 
+#: paragraphs marked by hand, a bar after each sentence; they are part of every training set
+THAI_SEEDS = """เมื่อวานนี้ฝนตกหนักมากในหมู่บ้าน ชาวบ้านต้องขนของขึ้นที่สูง แม่น้ำล้นตลิ่งในตอนกลางคืน ไม่มีใครได้รับบาดเจ็บ
+คณะทำงานตรวจสอบสะพานเก่า ถนนสายนี้ปิดชั่วคราว ครูพานักเรียนไปที่แม่น้ำ รถไฟมาถึงสถานีในตอนเช้า การทดลองครั้งแรกไม่สำเร็จ"""
+SEEDS = """The tower stands near St. Harsk since 1904.| It was built by Dr. A. B. Fesk and Prof. Lind.|
+“Will it rain?” asked the guard.| “No,” said the clerk.| He smiled.|
+The note reads: “The road is closed.”| Nobody knew why.| It was 9 a.m. on most days.|
+We measured 4.5 km at 20.1 K.| Then the wind rose, etc.| The sails tore.|
+It failed (see Fig. 3).| Others agree, cf. Sec. 4.2 and Hill et al. in App. B.| The rest follows.|
+The road is 12 km.| Its width is 3.5 mm.| A lamp of 40 W.| It weighs 7 kg.| At 1.2 Å.| The gap closed.| It took 9 s.| We left at 121 K.| Rain fell.|
+Results hold e.g. in sand and i.e. without drift.| See Vol. 4, pp. 11-19.| 3 of 8 trials failed ... but not here.|
+Why does it stop?| It simply ends!| A broken wheel, approx. 16 percent of all, caused it in Vol. 2, No. 7.| Eq. (12) shows it.|
+Der Zug kam am 15. Mai um ca. 6,7 Uhr an.| Laut Dr. Lang war er z. B. bei Frost zu spät, d. h. ohne Grund.|
+„Wann fährt er?“ fragte das Kind.| Die Mutter schwieg.| Der Plan steht gem. Abschn. 4.4 bzw. nach Nr. 82 in Abb. 2.| Das Ende kam.|
+« Qui vient ? » demande le garde.| Personne ne répond.| Il neige env. 3,2 mm p. ex. en hiver.| Voir l’art. 12 et cf. fig. 4.| La loi, selon l’éd. de mai, le dit d’après M. Jori Pell.| Fin !|
+«¿Quién viene?» preguntó el juez.| Nadie sabe nada.| Está en la pág. 8 según el Dr. Ruiz y la Sra. Paz.| Mide aprox. 29,0 mm p. ej. en verano.| ¿Por qué?| Así es.|
+“Quem vem?” perguntou o juiz.| Ninguém sabe.| Está na pág. 22 segundo o Dr. Neves p. ex. no verão.| Mede aprox. 7,4 mm.|
+«Кто пришёл?» – спросил мастер.| Никто не знает.| Поезд идёт у г. Марвинск т. е. без потерь.| См. гл. 7 и рис. 3.| Вода ок. 8,2 см.| Опыт кончен!|
+«Ποιος ήρθε;» ρώτησε η ομάδα.| Κανείς δεν ξέρει.| Βλ. σελ. 44 π.χ. στη βροχή.| Τι ώρα είναι;| Είναι νωρίς.|
+“有人来了吗？”主任问道。|没有人回答。|报告写道：“道路关闭了。”|大家按No. 7记录了3.6米处的数据！|为什么？|
+「雨が降った。」と駅長は述べた。|道は約3.5メートルだった！|図4.2を見る。|古い橋はない。|
+पुल डॉ. रमोला के अनुसार पुराना है।| नदी 2.5 मीटर गहरी है?| लोग खुश हैं।|
+الجسر قديم حسب د. مروان.| الماء نحو 3.5 متر.| هل وصل القطار؟| نعم.|"""
+
+
+def seeds() -> list[list[Place]]:
+    out = []
+    for line in SEEDS.split("\n"):
+        text, marks = "", set()
+        for part in line.split("|"):
+            text += part
+            marks.add(len(text))
+        seq = places(text)
+        for p in seq:
+            p.label = int(p.end in marks)
+        out.append(seq)
+    return out
+
+
 def _paragraphs(rows: list[tuple[int, str, int | None, bool]]) -> list[list[tuple[int, str]]]:
     """Runs of lines no sure end of a sentence parts: cut at blank lines within a page."""
     out: list[list[tuple[int, str]]] = [[]]
@@ -273,7 +314,8 @@ def fit(lines: DataFrame, paragraphs: int = TRAIN_PARAGRAPHS, thai: int = TRAIN_
             data.append(places("\n".join(t for _, t in par)))
     lines_th = text.where(F.col("text").rlike("[\\u0e00-\\u0e7f] [\\u0e00-\\u0e7f]")).select("text").orderBy(F.xxhash64("text"), "text").limit(thai).toArrow().to_pylist()
     data += [stripped_thai(r["text"], rng) for r in lines_th]
-    return Tagger().fit([d for d in data if d])
+    data += [stripped_thai(t, rng) for t in THAI_SEEDS.split("\n")]
+    return Tagger().fit(seeds() * 8 + [d for d in data if d])
 
 
 def ends(rows: list[tuple[int, str, int | None, bool]], tagger: Tagger) -> list[tuple[int, int]]:
