@@ -1,7 +1,7 @@
 """Smoothed character trigram model with hashed, fixed-size count tables.
 
-The tables never grow with the corpus (65,536 single characters, 2**18 pairs, 2**20
-triples, about 5 MB), so sending them to the driver and to the executors is bounded
+The tables never grow with the corpus (65,536 single characters, 2**19 pairs, 2**21
+triples, about 11 MB), so sending them to the driver and to the executors is bounded
 by construction. Counting reads every row of the corpus: each task adds up its own
 tables and emits only the cells it touched; Spark sums the cells.
 """
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNI, BI, TRI = 1 << 16, 1 << 18, 1 << 20
+UNI, BI, TRI = 1 << 16, 1 << 19, 1 << 21
 EDGE = "\x02"
 LOST = 0xFFFD
 #: log probability that stands for a character that was lost, whatever it was
@@ -66,8 +66,12 @@ class CharModel:
         n1 = self.uni[c & (UNI - 1)].astype(np.float64)
         nb = self.uni[b & (UNI - 1)].astype(np.float64)
         p1 = n1 / max(self.total, 1.0) + FLAT
-        p2 = self.bi[_hash2(b, c)] / (nb + 2.0)  # nothing is given back to contexts never seen,
-        p3 = self.tri[_hash3(a, b, c)] / (self.bi[_hash2(a, b)] + 1.0)  # or odd characters would excuse what follows
+        # a pair is no more frequent than its characters, a triple than its pairs: what shares a cell by chance shows
+        before = np.minimum(self.bi[_hash2(a, b)], np.minimum(self.uni[a & (UNI - 1)], nb))
+        pair = np.minimum(self.bi[_hash2(b, c)], np.minimum(nb, n1))
+        triple = np.minimum(self.tri[_hash3(a, b, c)], np.minimum(before, pair))
+        p2 = pair / (nb + 2.0)  # nothing is given back to contexts never seen,
+        p3 = triple / (before + 1.0)  # or odd characters would excuse what follows
         p = 0.90 * p3 + 0.08 * p2 + 0.02 * p1
         out = np.log(np.minimum(p, 1.0))
         out[c == LOST] = LOST_LOGP
