@@ -1,7 +1,7 @@
 """Smoothed character trigram model with hashed, fixed-size count tables.
 
 The tables never grow with the corpus (65,536 single characters, 2**19 pairs, 2**21
-triples, about 11 MB), so sending them to the driver and to the executors is bounded
+triples, 2**20 whole words beyond ASCII, about 15 MB), so sending them to the driver and to the executors is bounded
 by construction. Counting reads every row of the corpus: each task adds up its own
 tables and emits only the cells it touched; Spark sums the cells.
 """
@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNI, BI, TRI = 1 << 16, 1 << 19, 1 << 21
+UNI, BI, TRI, WORD = 1 << 16, 1 << 19, 1 << 21, 1 << 20
 EDGE = "\x02"
+#: tasks that count, at most: each emits its own cells, so their number bounds the shuffle on any corpus
+MOST_TABLES = 4096
 LOST = 0xFFFD
 #: log probability that stands for a character that was lost, whatever it was
 LOST_LOGP = -6.0
@@ -53,8 +56,8 @@ def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class CharModel:
     """P(c | a b), interpolated from triples to pairs to single characters to a flat floor."""
 
-    def __init__(self, uni: np.ndarray, bi: np.ndarray, tri: np.ndarray):
-        self.uni, self.bi, self.tri = uni, bi, tri
+    def __init__(self, uni: np.ndarray, bi: np.ndarray, tri: np.ndarray, word: np.ndarray):
+        self.uni, self.bi, self.tri, self.word = uni, bi, tri, word
         self.total = float(uni.sum())
 
     def logp(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +83,10 @@ class CharModel:
         edges = np.flatnonzero(c == 2)
         return out[1:], edges[:-1]
 
+    def seen(self, word: str) -> float:
+        """How often the whole word was counted."""
+        return float(self.word[xxhash.xxh32_intdigest(word) & (WORD - 1)])
+
     def score(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sum, least and number of the characters' log probabilities, by string."""
         if not strings:
@@ -99,27 +106,31 @@ def _touched(kind: int, table: np.ndarray) -> pa.RecordBatch:
 def count_chars(df: DataFrame, pieces) -> CharModel:
     """Count the strings ``pieces(batch)`` gives for each Arrow batch of ``df``, over all rows.
 
-    The result has at most UNI + BI + TRI cells, however large ``df`` is.
+    ``pieces`` returns the strings whose characters count, and the words beyond ASCII that count
+    as such. The result has at most UNI + BI + TRI + WORD cells, however large ``df`` is.
     """
 
     def tables(batches):
-        uni, bi, tri = np.zeros(UNI, np.int64), np.zeros(BI, np.int64), np.zeros(TRI, np.int64)
+        uni, bi, tri, word = (np.zeros(n, np.int64) for n in (UNI, BI, TRI, WORD))
         for batch in batches:
-            strings = [s for s in pieces(batch) if s]
+            strings, words = pieces(batch)
+            if words:
+                word += np.bincount(np.fromiter((xxhash.xxh32_intdigest(w) & (WORD - 1) for w in words), np.int64, len(words)), minlength=WORD)
+            strings = [s for s in strings if s]
             if not strings:
                 continue
             c, b, a = _codes(strings)
             uni += np.bincount(c & np.uint32(UNI - 1), minlength=UNI)
             bi += np.bincount(_hash2(b, c), minlength=BI)
             tri += np.bincount(_hash3(a, b, c), minlength=TRI)
-        for kind, table in enumerate((uni, bi, tri)):
+        for kind, table in enumerate((uni, bi, tri, word)):
             yield _touched(kind, table)
 
-    cells = df.mapInArrow(tables, "kind int, cell int, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n"))
+    cells = df.coalesce(MOST_TABLES).mapInArrow(tables, "kind int, cell int, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n"))
     got = cells.toArrow()
     kind, cell, n = (got[k].to_numpy() for k in ("kind", "cell", "n"))
     out = []
-    for k, size in enumerate((UNI, BI, TRI)):
+    for k, size in enumerate((UNI, BI, TRI, WORD)):
         t = np.zeros(size, np.float32)
         t[cell[kind == k]] = n[kind == k]
         out.append(t)

@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 BLOCK = 1024
 
 
-def line_texts(text_lines: DataFrame) -> DataFrame:
+def line_texts(text_lines: DataFrame, once: bool = True) -> DataFrame:
     """One row for each (doc, line_no): its text (span texts joined by one blank), page and blankness.
 
-    Null or empty spans make a blank line, a null span text an empty one; repeated rows count once.
+    Null or empty spans make a blank line, a null span text an empty one; repeated rows count once,
+    or as they come if not ``once`` (then nothing is shuffled).
     """
     spans = F.coalesce(F.col("spans"), F.array().cast(text_lines.schema["spans"].dataType))
     text = F.array_join(F.transform(spans, lambda s: F.coalesce(s["text"], F.lit(""))), " ")
     page = F.filter(F.transform(spans, lambda s: s["page_num"]), lambda p: p.isNotNull())
-    return text_lines.select("doc", "line_no", text.alias("text"), F.get(page, F.lit(0)).alias("page"), (F.size(spans) == 0).alias("blank")).dropDuplicates(["doc", "line_no"])
+    out = text_lines.select("doc", "line_no", text.alias("text"), F.get(page, F.lit(0)).alias("page"), (F.size(spans) == 0).alias("blank"))
+    return out.dropDuplicates(["doc", "line_no"]) if once else out
 
 
 def with_blocks(lines: DataFrame, at_pages: bool, size: int = BLOCK) -> DataFrame:

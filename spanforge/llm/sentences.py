@@ -306,8 +306,11 @@ def fit(lines: DataFrame, paragraphs: int = TRAIN_PARAGRAPHS, thai: int = TRAIN_
     """
     rng = random.Random(5)
     text = lines.where(~F.col("blank"))
-    groups = lines.groupBy("doc", F.floor(F.col("line_no") / 24).alias("g")).agg(F.sort_array(F.collect_list(F.struct("line_no", "text", "page", "blank"))).alias("rows"))
-    picked = groups.orderBy(F.xxhash64("doc", "g"), "doc", "g").limit(max(1, paragraphs // 5)).select("rows").toArrow().to_pylist()
+    keyed = lines.withColumn("g", F.floor(F.col("line_no") / 24))
+    # keys are chosen first, so that only the chosen groups' text moves; their number is a constant
+    keys = keyed.select("doc", "g").distinct().orderBy(F.xxhash64("doc", "g"), "doc", "g").limit(max(1, paragraphs // 5))
+    chosen = keyed.join(F.broadcast(keys), ["doc", "g"]).groupBy("doc", "g").agg(F.sort_array(F.collect_set(F.struct("line_no", "text", "page", "blank"))).alias("rows"))
+    picked = chosen.orderBy("doc", "g").select("rows").toArrow().to_pylist()
     data = []
     for r in picked:
         for par in _paragraphs([(x["line_no"], x["text"], x["page"], x["blank"]) for x in r["rows"]]):
@@ -353,8 +356,9 @@ def sentence_ends(text_lines: DataFrame, docs: DataFrame | None = None, tagger:
     blocks of about 1,024 lines that are worked on apart, so no document is gathered in one task.
     Blank documents give no rows; null texts count as empty; repeated rows count once.
     """
-    lines = line_texts(text_lines if docs is None else text_lines.join(docs.select("doc").distinct(), "doc", "left_semi"))
-    tagger = tagger or fit(lines)
+    wanted = text_lines if docs is None else text_lines.join(docs.select("doc").distinct(), "doc", "left_semi")
+    lines = line_texts(wanted)
+    tagger = tagger or fit(line_texts(wanted, once=False))
     sent = text_lines.sparkSession.sparkContext.broadcast(tagger.w)
 
     def run(key, table):
