@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lines import line_texts, with_blocks
+from .lines import line_texts, with_blocks, with_totals
 
 HEADING = re.compile(r"^\s*(?:\d{1,3}(?:\.\d{1,3}){0,4}[.)]?\s+\S|[IVXLC]{1,6}\.\s+\S|#{1,6}\s|\\(?:part|chapter|(?:sub)*section)\b)")
 ITEM = re.compile(r"^\s*(?:[•‣▪–—*-]\s|\(?\w{1,3}\)\s|\[\d+\]|\\item\b)")
@@ -155,8 +155,7 @@ def pieces(text_lines: DataFrame, limits: DataFrame) -> DataFrame:
     least = min((m for _, m, _ in profiles), default=None)
     if least is None:
         least, profiles = 1 << 62, []
-    sizes = lines.groupBy("doc").agg(F.sum(F.length("text") + 1).alias("total")).where(F.col("total") > least)
-    blocks = with_blocks(lines.join(sizes, "doc"), at_pages=True)
+    blocks = with_blocks(with_totals(lines).where(F.col("total") > least), at_pages=True)
 
     def run(key, table):
         got = sorted(zip(table["line_no"].to_pylist(), table["text"].to_pylist(), table["page"].to_pylist(), table["blank"].to_pylist()))

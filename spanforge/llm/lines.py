@@ -47,3 +47,25 @@ def with_blocks(lines: DataFrame, at_pages: bool, size: int = BLOCK) -> DataFram
     held = buckets.select("doc", "bucket", F.coalesce(F.last(F.when(F.col("_c").isNotNull(), F.col("bucket")), True).over(past), F.lit(0)).alias("_held"))
     out = b.join(held, ["doc", "bucket"])
     return out.withColumn("block", F.when(F.col("line_no") >= F.col("_cut"), F.col("bucket")).otherwise(F.col("_held"))).drop("bucket", "_cut", "_held")
+
+
+#: parts over which the lines of one document are spread where they meet something by document
+SALTS = 16
+
+
+def of_documents(text_lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """The lines of the documents in ``docs``. The few keys are repeated and the lines spread over
+    them, so a document with a large share of all lines doesn't meet its key in one task."""
+    keys = docs.select("doc").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")  # their size isn't known beforehand
+    return text_lines.withColumn("_salt", (F.floor(F.col("line_no") / BLOCK) % SALTS).cast("int")).join(keys, ["doc", "_salt"], "left_semi").drop("_salt")
+
+
+def with_totals(lines: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Add ``total``, the characters of the line's document, newlines counted.
+
+    Totals are summed by bucket, then over one row a bucket, and meet the lines by (doc, bucket).
+    """
+    b = lines.withColumn("_b", F.floor(F.col("line_no") / size))
+    sums = b.groupBy("doc", "_b").agg(F.sum(F.length("text") + 1).alias("_n"))
+    totals = sums.select("doc", "_b", F.sum("_n").over(Window.partitionBy("doc")).alias("total"))
+    return b.join(totals, ["doc", "_b"]).drop("_b")

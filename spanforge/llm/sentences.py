@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lines import line_texts, with_blocks
+from .lines import line_texts, of_documents, with_blocks
 
 #: paragraphs (and Thai lines) the model is fitted on, taken by hash order
 TRAIN_PARAGRAPHS = 5000
@@ -356,7 +356,7 @@ def sentence_ends(text_lines: DataFrame, docs: DataFrame | None = None, tagger:
     blocks of about 1,024 lines that are worked on apart, so no document is gathered in one task.
     Blank documents give no rows; null texts count as empty; repeated rows count once.
     """
-    wanted = text_lines if docs is None else text_lines.join(docs.select("doc").distinct(), "doc", "left_semi")
+    wanted = text_lines if docs is None else of_documents(text_lines, docs)
     lines = line_texts(wanted)
     tagger = tagger or fit(line_texts(wanted, once=False))
     sent = text_lines.sparkSession.sparkContext.broadcast(tagger.w)
