@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: points of a grid column; distance at which a span counts as aligned with a column
 CELL, ALIGNED = 4.0, 16.0
+#: parts over which a document's lines are spread where they meet its columns
+SALTS = 16
 #: clusters of right edges: distance to the centre, least spans, spreads and places
 NEAR, LEAST, LEFT_SPREAD, FAR_LEFT_SPREAD, FAR, RIGHT_SPREAD, FIRST = 8.0, 3, 50.0, 5.0, 450.0, 3.7, 200.0
 
@@ -109,7 +111,9 @@ def pretty_lines(lines: DataFrame, positions: DataFrame | None = None) -> DataFr
     (doc, positions); without them every span is placed by its left edge."""
     rows = lines.select("doc", "line_no", "spans")
     if positions is not None:
-        rows = rows.join(positions, "doc", "left")
+        # the few rows of positions are repeated, so that the lines of a large document meet them in many tasks
+        spread = positions.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+        rows = rows.withColumn("_salt", (F.col("line_no") % SALTS).cast("int")).join(spread, ["doc", "_salt"], "left")
         held = F.coalesce("positions", F.array().cast("array<float>"))
     else:
         held = F.array().cast("array<float>")

@@ -42,18 +42,29 @@ def glyph_flags(glyphs: DataFrame) -> DataFrame:
 
 
 def glyph_segments(glyphs: DataFrame) -> DataFrame:
-    """Flagged glyphs with their segment, the piece of text each adds, and the edge it would leave."""
-    w = Window.partitionBy("doc", "page").orderBy("seq")
-    g = glyph_flags(glyphs).withColumn("segment", F.sum(F.col("breaks").cast("int")).over(w))
-    near = F.abs(F.lead("y").over(w) - F.col("y")) < F.lead("tfs").over(w) * _f(0.5)
-    g = g.withColumn("edge", F.when((F.col("end") == F.col("x")) & F.coalesce(near, F.lit(False)), F.lead("x").over(w)).otherwise(F.col("end")))
-    s = Window.partitionBy("doc", "page", "segment").orderBy("seq")
-    g = g.withColumn("_ne", F.sum((F.col("text") != "").cast("int")).over(s)).where(F.col("_ne") > 0)  # what is empty at the start leaves no trace
+    """Flagged glyphs with their segment, the piece of text each adds, and the edge it would leave.
+
+    Every window has the same partition and order, so the glyphs are sorted once: counts within a
+    segment are running counts less their value where the segment began, and whether the text ends
+    in white space follows from the last glyph with text and the last blank put before an empty one.
+    """
+    w = Window.partitionBy("doc", "page").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    o = Window.partitionBy("doc", "page").orderBy("seq")
+    full = F.col("text") != ""
     wide = F.coalesce(F.col("ratio") > _f(0.15), F.lit(False))
-    white = F.when(F.col("text") != "", F.col("text").rlike(WHITE)).otherwise(wide)
-    g = g.withColumn("_white", F.max(white.cast("int")).over(Window.partitionBy("doc", "page", "segment", "_ne").orderBy("seq")))
-    blank = wide & (F.row_number().over(s) > 1) & (F.lag("_white").over(s) == 0)
-    return g.withColumn("space", F.coalesce(blank, F.lit(False))).withColumn("piece", F.concat(F.when(F.col("space"), " ").otherwise(""), F.col("text")))
+    near = F.abs(F.lead("y").over(o) - F.col("y")) < F.lead("tfs").over(o) * _f(0.5)
+    g = glyph_flags(glyphs).withColumn("_full", full.cast("int"))
+    g = (
+        g.withColumn("segment", F.sum(F.col("breaks").cast("int")).over(w)).withColumn("_n", F.sum("_full").over(w))
+        .withColumn("_text_at", F.last(F.when(full, F.col("seq")), True).over(w)).withColumn("_ends_white", F.last(F.when(full, F.col("text").rlike(WHITE)), True).over(w))
+        .withColumn("_blank_at", F.last(F.when(~full & wide, F.col("seq")), True).over(w))
+        .withColumn("edge", F.when((F.col("end") == F.col("x")) & F.coalesce(near, F.lit(False)), F.lead("x").over(o)).otherwise(F.col("end")))
+    )
+    g = g.withColumn("_white", F.col("_ends_white") | F.coalesce(F.col("_blank_at") > F.col("_text_at"), F.lit(False)))
+    g = g.withColumn("_ne", F.col("_n") - F.last(F.when(F.col("breaks"), F.col("_n") - F.col("_full")), True).over(w)).withColumn("_was_white", F.lag("_white").over(o))
+    first = (F.col("_ne") == 1) & full
+    g = g.where(F.col("_ne") > 0)  # what is empty at the start of a span leaves no trace
+    return g.withColumn("space", wide & ~first & ~F.coalesce("_was_white", F.lit(True))).withColumn("piece", F.concat(F.when(F.col("space"), " ").otherwise(""), F.col("text")))
 
 
 def spans(glyphs: DataFrame) -> DataFrame:
