@@ -227,3 +227,45 @@ def test_broken_files(data, kind):
 
 def test_courier_needs_its_name():
     assert COURIER in assemble(pages([b""]))
+
+
+def full_font(chars, advances):
+    """A font file with cmap, head, maxp, hhea and hmtx; 1,000 units to the em."""
+    import struct
+
+    whole = true_type(chars)
+    cmap = whole[28:]
+    head = bytes(18) + struct.pack(">H", 1000) + bytes(34)
+    tables = {b"cmap": cmap, b"head": head, b"maxp": struct.pack(">IH", 0x10000, len(advances)), b"hhea": bytes(34) + struct.pack(">H", len(advances)), b"hmtx": b"".join(struct.pack(">Hh", a, 0) for a in advances)}
+    out, body, at = b"\0\1\0\0" + struct.pack(">HHHH", len(tables), 0, 0, 0), b"", 12 + 16 * len(tables)
+    for tag, data in tables.items():
+        out += tag + struct.pack(">III", 0, at + len(body), len(data))
+        body += data
+    return out + body
+
+
+def test_fonts_of_the_folders_given_stand_in_by_width(tmp_path):
+    (tmp_path / "C-Regular.ttf").write_bytes(full_font({0x41: 1, 0x37: 2, 0x71: 3}, [0, 700, 500, 500]))
+    data = one(show(b"<000100020003>"), cid_font(b"/W[1[700 505 300]]"))
+    assert glyphs(data).text == ["", "", ""]
+    assert glyphs(data, font_folders=(str(tmp_path),)).text == ["A", "7", ""]
+
+
+def test_font_rows_and_embedded_files(spark):
+    from spanforge.sources import pdf
+
+    file = full_font({0x41: 1, 0x3B1: 2}, [0, 600, 250])
+    font = cid_font(b"/CIDSystemInfo<</Registry(Adobe)/Ordering(Identity)/Supplement 0>>/CIDToGIDMap/Identity/W[1[600]]/DW 900")
+    font["F1"] = font["F1"].replace(b"/FontDescriptor<<>>", b"/FontDescriptor<</FontFile2 60 0 R>>")
+    cm = stream(b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <0041> endbfchar")
+    font["F1"] = font["F1"].replace(b"/BaseFont/C/Encoding", b"/ToUnicode 50 0 R/BaseFont/C/Encoding", 1)
+    data = one(show(b"<0001>"), font | {"F2": b"<</Type/Font/Subtype/Type3/Encoding/StandardEncoding>>"}, extra={60: stream(file), 50: cm})
+    f = spark.createDataFrame([("d", bytearray(data))], "doc string, content binary")
+    rows = {r.font_id: r for r in pdf.fonts(f).collect()}
+    r = rows["F1"]
+    assert (r.subtype, r.encoding, r.widths, r.default_width, r.cid_registry, r.cid_ordering, r.embedded, r.to_unicode) == ("Type0", "Identity-H", {1: 600.0}, 900.0, "Adobe", "Identity", "FontFile2", {1: "A"})
+    assert rows["F2"].error and [tuple(x) for x in pdf.cmaps(pdf.fonts(f)).collect()] == [("d", "F1", 1, "A")]
+    e = pdf.embedded_fonts(f)
+    assert bytes(e.first().data) == file and e.first().size == len(file)
+    got = {(g.glyph, g.code_point, g.advance) for g in pdf.font_glyphs(e).collect()}
+    assert got == {(0, None, 0.0), (1, 0x41, 600.0), (2, 0x3B1, 250.0)}
