@@ -64,6 +64,7 @@ def oracle_sql() -> dict[str, str]:
     shown = "line_no, coalesce(string_agg(repeat(' ', pad::BIGINT) || text, '' ORDER BY k), '') AS text"
     given_spans = """lines AS (SELECT DISTINCT doc, line_no, spans FROM text_lines), given AS (SELECT doc, line_no, unnest(range(len(spans))) AS i, spans FROM lines),
       gs AS (SELECT doc, line_no, i, coalesce(spans[i + 1].text, '') AS text, spans[i + 1].bbox.l AS l FROM given)"""
+    curly = "replace(replace(text, chr(39), chr(8217)), '`', chr(8216))"  # what the standard encoding makes of them
     out = {
         "glyphs_layout": w(GLYPHS, "SELECT doc, page, seq, raw AS text, x, y, width, tfs, font_name FROM glyphs"),
         "tab_normalize": w(FLAGS, "SELECT text, count(*) AS glyphs FROM flags WHERE raw = chr(9) GROUP BY text"),
@@ -98,7 +99,11 @@ def oracle_sql() -> dict[str, str]:
           j AS (SELECT v.width, o.char, o.width AS matched_width, row_number() OVER (PARTITION BY v.width ORDER BY abs(o.width - floor(v.width)), (o.width < floor(v.width)), NOT regexp_matches(o.char, '^[ 0-9!-/:-@\\[-`{{-~]$'), o.ord) AS k
                 FROM v JOIN o ON abs(o.width - floor(v.width)) <= greatest(1, floor(v.width * 2.0 / 100.0))) SELECT width, char, matched_width FROM j WHERE k = 1""",
         "cid_gid_unicode": "WITH f AS (SELECT DISTINCT doc || '/' || font_id AS font, widths, to_unicode FROM fonts), a AS (SELECT font, unnest(map_keys(widths)) AS cid FROM f), b AS (SELECT font, unnest(map_entries(to_unicode)) AS e FROM f) SELECT a.font, cid, cid - 32 AS gid, chr(ascii(e.value)) AS text FROM a JOIN b ON a.font = b.font AND e.key = cid WHERE cid <> 32",
-        "pdf_plain": w(FILES, "SELECT doc, text || chr(10) AS plain FROM shown WHERE text <> ''"),
+        "pdf_plain": w(FILES, f"SELECT doc, {curly} || chr(10) AS plain FROM shown WHERE text <> ''"),
+        "pdf_spans": w(FILES, f"SELECT doc, 1 AS page_num, 0::BIGINT AS span_seq, {curly} AS text, 102.0::DOUBLE AS t, (72 + 6 * length(text))::DOUBLE AS r, 92.0::DOUBLE AS b, 72.0::DOUBLE AS l, 'Courier' AS font_name, 10.0::DOUBLE AS font_size FROM shown WHERE text <> ''"),
+        "pdf_glyphs": w(FILES, f", c AS (SELECT doc, unnest(range(length(text))) AS i, text AS raw, {curly} AS shown FROM shown) SELECT doc, 1 AS page, i AS seq, ascii(substr(raw, i + 1, 1)) AS code, substr(c.shown, i + 1, 1) AS text, (72 + 6 * i)::DOUBLE AS x, 92.0::DOUBLE AS y FROM c"),
+        "pdf_pretty": w(FILES, f"SELECT doc, repeat(' ', 18) || {curly} || chr(10) AS pretty FROM shown WHERE text <> ''"),
+        "pdf_fonts": w(FILES, "SELECT doc, 'F1' AS font_id, 'Type1' AS subtype, 'Courier' AS base_font, NULL::VARCHAR AS encoding, NULL::VARCHAR AS error FROM texts WHERE contains(body, 'BaseFont/Courier>>')"),
         "pages_count": w(FILES, "SELECT doc, 1::BIGINT AS pages FROM texts WHERE contains(body, '/Type/Page/Parent')"),
     }
     return out
