@@ -150,9 +150,10 @@ def stuffed_windows(w: Windows, auto: np.ndarray) -> np.ndarray:
     spoken = w.inside(w.kind == 1) / w.width
     bare = (w.func <= np.where(strong, 0.10, 0.05)) & (spoken <= 0.34)
     tabular = (num >= 0.30) & (url < 0.08)
-    regular = (recur >= 0.55) | (auto >= 0.28) & (recur >= 0.40)
     links = (url >= 0.10) | (linked >= 0.5) & (url > 0)
     listed, ends = w.inside((w.marks & 1) > 0) / w.width, w.inside((w.marks & 2) > 0) / w.width
+    # where full stops part it into sentences, a window must be strong or repeat at a fixed lag
+    regular = strong | (recur >= 0.55) & (ends < 0.08) | (auto >= 0.28) & (recur >= 0.40)
     nouns = (w.func <= 0.03) & (spoken <= 0.10) & (listed >= 0.25) & (ends <= 0.05) & (num < 0.15)
     return (bare & ~tabular & (regular | links)) | nouns
 
