@@ -120,11 +120,12 @@ def pretty_lines(lines: DataFrame, positions: DataFrame | None = None) -> DataFr
     rows = rows.withColumn("_p", held)
 
     def step(acc: Column, s: Column) -> Column:
-        size = F.length(s["text"])
+        text = F.coalesce(s["text"], F.lit(""))
+        size = F.length(text)
         column = F.get(F.filter(F.col("_p"), lambda p: F.abs(s["bbox"]["r"] - p) < F.lit(ALIGNED).cast("float")), F.lit(0))
         start = F.when(column.isNotNull(), F.greatest(F.lit(0), to_col(column) - size)).otherwise(to_col(s["bbox"]["l"]))
         pad = F.when(start > acc["col"], start - acc["col"]).when(acc["col"] > 0, F.lit(1)).otherwise(F.lit(0))
-        return F.struct((acc["col"] + pad + size).cast("int").alias("col"), F.concat(acc["out"], F.repeat(F.lit(" "), pad.cast("int")), s["text"]).alias("out"))
+        return F.struct((acc["col"] + pad + size).cast("int").alias("col"), F.concat(acc["out"], F.repeat(F.lit(" "), pad.cast("int")), text).alias("out"))
 
     zero = F.struct(F.lit(0).cast("int").alias("col"), F.lit("").alias("out"))
     return rows.select("doc", "line_no", F.aggregate("spans", zero, step, lambda a: a["out"]).alias("text"))
@@ -157,7 +158,7 @@ def debug_lines(lines: DataFrame) -> DataFrame:
     """doc, line_no, text: the line's number and each span's text, box and size."""
 
     def show(s: Column, i: Column) -> Column:
-        return F.concat(F.lit("\n  Span "), i.cast("string"), F.lit(": "), quoted(s["text"]), F.lit("\n    BBox: "), box_text(s["bbox"]), F.lit("\n    Font size: "), one_decimal(s["font_size"]))
+        return F.concat(F.lit("\n  Span "), i.cast("string"), F.lit(": "), quoted(F.coalesce(s["text"], F.lit(""))), F.lit("\n    BBox: "), box_text(s["bbox"]), F.lit("\n    Font size: "), one_decimal(s["font_size"]))
 
     head = F.concat(F.lit("Line "), F.col("line_no").cast("string"), F.lit(":"))
     text = F.when(F.size("spans") == 0, F.concat(head, F.lit(" (empty)"))).otherwise(F.concat(head, F.array_join(F.transform("spans", show), "")))

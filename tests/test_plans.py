@@ -197,3 +197,55 @@ def test_command_line(tmp_path):
     assert run(str(p)).stdout.endswith("Hi\n")
     bad = run(str(tmp_path / "none.pdf"))
     assert bad.returncode == 1 and "Error extracting" in bad.stderr
+
+
+def grid_model(doc):
+    """A document's lines of (text, l, r) laid out one span after another, clusters by full recomputation."""
+    clusters = []
+    for line in doc:
+        for _, left, right in line:
+            if left is None or right is None:
+                continue
+            best = None
+            for c in clusters:
+                total = f32(0)
+                for _, r in c:
+                    total += r
+                d = abs(f32(right) - total / f32(len(c)))
+                if d < 8.0 and (best is None or d < best[0]):
+                    best = (d, c)
+            (best[1] if best else clusters.append([]) or clusters[-1]).append((f32(left), f32(right)))
+    places = []
+    for c in clusters:
+        mean = sum((r for _, r in c), f32(0)) / f32(len(c))
+        wide, tall = max(a for a, _ in c) - min(a for a, _ in c), max(b for _, b in c) - min(b for _, b in c)
+        if len(c) >= 3 and wide >= (5 if mean >= 450 else 50) and tall < f32(3.7) and mean >= 200:
+            places.append(mean)
+    col = lambda x: max(0, int(np.floor(float(x) / 4 + 0.5)))
+    out = []
+    for line in doc:
+        row, cur = "", 0
+        for text, left, right in line:
+            at = next((p for p in places if abs(f32(right) - p) < 16), None)
+            start = col(left) if at is None else max(0, col(at) - len(text))
+            pad = start - cur if start > cur else int(cur > 0)
+            row, cur = row + " " * pad + text, cur + pad + len(text)
+        out.append(row)
+    return out
+
+
+def test_pretty_equals_the_model(spark):
+    import random
+
+    rng = random.Random(3)
+    docs = {}
+    for d in range(12):
+        edges = [rng.choice((150.0, 230.0, 300.0, 452.0, 500.0)) for _ in range(3)]
+        docs[f"d{d}"] = [[("w" * rng.randrange(1, 9), e - rng.choice((20.0, 40.0, 90.0, 6.25)), e + rng.choice((0.0, 0.0, 1.5, 3.5, 9.0))) for e in edges[: rng.randrange(0, 4)]] for _ in range(rng.randrange(1, 25))]
+    rows = [(d, i, [(t, (0.0, r, 0.0, left), "F", 10.0, 1) for t, left, r in line]) for d, ls in docs.items() for i, line in enumerate(ls)]
+    df = spark.createDataFrame(rows, "doc string, line_no int, spans array<struct<text string, bbox struct<t float, r float, b float, l float>, font_name string, font_size float, page_num int>>")
+    got: dict = {}
+    for r in render.pretty(df).collect():
+        got.setdefault(r.doc, {})[r.line_no] = r.text
+    for d, ls in docs.items():
+        assert [got[d][i] for i in range(len(ls))] == grid_model(ls)
