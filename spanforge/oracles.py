@@ -46,6 +46,11 @@ cs AS (SELECT doc, page_num, span_seq, v.text AS text, v.bbox.t AS t, v.bbox.r A
 FILES = """
 files AS (SELECT DISTINCT doc, content FROM pdf_files), texts AS (SELECT doc, decode(content) AS body FROM files WHERE content IS NOT NULL AND octet_length(content) > 0),
 shown AS (SELECT doc, replace(replace(replace(regexp_extract(body, '\\((.*)\\) Tj', 1), '\\(', '('), '\\)', ')'), '\\\\', '\\') AS text FROM texts WHERE contains(body, 'BaseFont/Courier>>'))"""
+ROUND = LINES + """,
+rt AS (SELECT doc || '#' || (line_no // 1080) AS doc, ((line_no % 1080) // 54 + 1)::INT AS page_num, (line_no % 54)::BIGINT AS span_seq, replace(text, chr(9), ' ') AS text,
+  (82 + 12 * (line_no % 54))::DOUBLE AS t, (72 + 6 * length(text))::DOUBLE AS r, (72 + 12 * (line_no % 54))::DOUBLE AS b, 72.0::DOUBLE AS l, 'Courier' AS font_name FROM given WHERE text <> '')"""
+ROUND_LINES = ROUND + numbered("rt") + """,
+rt_lines AS (SELECT d.doc, n.line_no::INT AS line_no FROM (SELECT doc, max(line_no) AS m FROM placed GROUP BY doc) d, unnest(range(m + 1)) AS n(line_no))"""
 
 
 def pretty(lines: str, span: str, args: str = "") -> str:
@@ -104,6 +109,8 @@ def oracle_sql() -> dict[str, str]:
         "pdf_glyphs": w(FILES, f", c AS (SELECT doc, unnest(range(length(text))) AS i, text AS raw, {curly} AS shown FROM shown) SELECT doc, 1 AS page, i AS seq, ascii(substr(raw, i + 1, 1)) AS code, substr(c.shown, i + 1, 1) AS text, (72 + 6 * i)::DOUBLE AS x, 92.0::DOUBLE AS y FROM c"),
         "pdf_pretty": w(FILES, f"SELECT doc, repeat(' ', 18) || {curly} || chr(10) AS pretty FROM shown WHERE text <> ''"),
         "pdf_fonts": w(FILES, "SELECT doc, 'F1' AS font_id, 'Type1' AS subtype, 'Courier' AS base_font, NULL::VARCHAR AS encoding, NULL::VARCHAR AS error FROM texts WHERE contains(body, 'BaseFont/Courier>>')"),
+        "pdf_roundtrip_spans": w(ROUND, "SELECT doc, page_num, text, t, r, b, l, font_name FROM rt"),
+        "pdf_roundtrip_plain": w(ROUND_LINES, "SELECT a.doc, string_agg(coalesce(p.text, '') || chr(10), '' ORDER BY a.line_no) AS plain FROM rt_lines a LEFT JOIN placed p ON a.doc = p.doc AND a.line_no = p.line_no GROUP BY a.doc"),
         "pages_count": w(FILES, "SELECT doc, 1::BIGINT AS pages FROM texts WHERE contains(body, '/Type/Page/Parent')"),
     }
     return out

@@ -11,7 +11,7 @@ from .functions.core_metrics import core_font
 from .operators import lines as L
 from .operators import lookups, patterns, render
 from .operators import spans as S
-from .plans import layout, text
+from .plans import layout, roundtrip, text
 from .ship import ship
 from .sources import pdf
 
@@ -243,6 +243,16 @@ def pdf_content(spark: SparkSession, d: str) -> DataFrame:
     return pdf.page_content(_files(spark, d), 1).where(F.col("operator").isin("Tj", "TJ", "Tf")).select("doc", "page", "op_no", "operator", "operands")
 
 
+def pdf_roundtrip_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of the given lines after they were written as PDF files and read back."""
+    s = text.extract(roundtrip.files(layout.line_texts(_t(spark, d, "text_lines")))).spans
+    return s.select("doc", "page_num", "text", *_box(), "font_name")
+
+
+def pdf_roundtrip_plain(spark: SparkSession, d: str) -> DataFrame:
+    return text.extract(roundtrip.files(layout.line_texts(_t(spark, d, "text_lines")))).plain
+
+
 def error_rows(spark: SparkSession, d: str) -> DataFrame:
     return text.extract(_files(spark, d)).errors.groupBy("kind").agg(F.count("*").alias("files"))
 
