@@ -15,6 +15,9 @@ from . import cmap, truetype
 from .pdf_objects import Document, Name, PdfError, Stream
 
 
+IDENTITY_SPACE, IDENTITY_CIDS = [(2, 0, 0xFFFF)], [(0, 0xFFFF, 0)]
+
+
 @dataclass
 class Options:
     """``quote_ops``: show the text of ' and " (lost by default). ``font_folders``: where to look for
@@ -43,11 +46,14 @@ class PdfFont:
     first_char: int | None = None
     file: bytes | None = None
     descendant: dict | None = None
+    known: dict[int, tuple[float, str]] = field(default_factory=dict)
 
     def codes(self, s: bytes) -> list[tuple[int, int]]:
         """(code, number of bytes) of each character; a code no range holds ends the string."""
         if not self.composite:
             return [(b, 1) for b in s]
+        if self.spaces == IDENTITY_SPACE and self.cids == IDENTITY_CIDS:
+            return [(s[i] << 8 | s[i + 1], 2) for i in range(0, len(s) - 1, 2)]
         out, i = [], 0
         while i < len(s):
             c, n = s[i], 1
@@ -308,7 +314,7 @@ def composite_font(doc: Document, font: dict, options: Options) -> PdfFont:
         raise PdfError("Type 0 font without descendant", "FormatError")
     enc = doc.key(font, "Encoding")
     if enc in ("Identity-H", "Identity-V"):
-        spaces, cids = [(2, 0, 0xFFFF)], [(0, 0xFFFF, 0)]
+        spaces, cids = IDENTITY_SPACE, IDENTITY_CIDS
     elif isinstance(enc, Stream):
         m = cmap.parse(doc.contents(enc))
         spaces, cids = m.spaces, m.cids

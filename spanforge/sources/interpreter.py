@@ -214,7 +214,11 @@ class Interpreter:
         if not codes:
             return
         n = len(codes)
-        w0 = np.array([font.width(c) for c, _ in codes], f32) / f32(1000)
+        known = font.known
+        for c, _ in codes:
+            if c not in known:
+                known[c] = (font.width(c), font.text(c))
+        w0 = np.array([known[c][0] for c, _ in codes], f32) / f32(1000)
         spacing = np.full(n, s.tc, f32)
         spaces = np.array([c == 32 and k == 1 for c, k in codes])
         spacing[spaces] += s.tw
@@ -235,7 +239,7 @@ class Interpreter:
         o.page.append(np.full(n, self.number, np.int32))
         o.code.append(np.array([k for k, _ in codes], np.int32))
         o.code_len.append(np.array([k for _, k in codes], np.int32))
-        o.text += [font.text(k) for k, _ in codes]
+        o.text += [known[k][1] for k, _ in codes]
         o.x.append(x.astype(f32))
         o.y.append((self.height - y).astype(f32))
         o.width.append(w0)
