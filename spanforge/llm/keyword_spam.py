@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common_words import SPACED
 
 WINDOW, STEP, LAGS = 40, 20, 24
-#: share of the content that must be stuffed; least number of terms of a page
-SHARE, LEAST_TERMS = 0.5, 30
+#: share of the content that must be stuffed; a stub has fewer terms than this and also fewer characters of content (a link is one term, however long)
+SHARE, LEAST_TERMS, LEAST_CHARS = 0.5, 30, 150
 
 BIBITEM = re.compile(r"\\bibitem(?:\[[^\]]{0,80}\])?\{[^}]{0,80}\}(?:(?!\\bibitem|\\end\{|\n\s*\n).){0,600}", re.S)
 MATH = re.compile(r"\\begin\{(equation|align|gather|multline|eqnarray|displaymath|math)\*?\}.*?\\end\{\1\*?\}|\$\$.*?\$\$|(?<!\\)\$[^$\n]{0,400}\$|\\\[.*?\\\]", re.S)
@@ -166,7 +166,7 @@ def judge(text: str) -> tuple[bool, float, float, float, int]:
     """
     words, sizes, marks = terms(text)
     n = len(words)
-    if n < LEAST_TERMS:
+    if n < LEAST_TERMS and sizes.sum() < LEAST_CHARS:
         return False, 0.0, 0.0, 0.0, n
     w = Windows(words, sizes, marks)
     links = float((w.kind == 2).mean())
@@ -183,7 +183,8 @@ SCHEMA = "doc_id bigint, stuffed boolean, share double, autocorrelation double,
 def keyword_spam(documents: DataFrame) -> DataFrame:
     """Verdict and figures for every row of ``documents`` (doc_id, text); other columns are ignored.
 
-    Null and empty texts, and those of fewer than 30 terms, are no cases. Texts are read whole.
+    Null and empty texts, and stubs of fewer than 30 terms with fewer than 150 characters of
+    content, are no cases. Texts are read whole.
     No shuffle.
     """
 

@@ -313,6 +313,15 @@ def test_pages_of_keywords_and_links(spark):
     assert keyword_spam.keyword_spam(spark.createDataFrame(rows, DOC).limit(0)).count() == 0
 
 
+def test_short_pages_of_links():
+    links = [f"\\noindent\\url{{https://shop-{i}.example/kettle/{i * 37}}}\\\\" for i in range(29)]
+    for n in (29, 25, 12, 6):
+        assert keyword_spam.judge("\n".join(links[:n]))[0], n
+    assert keyword_spam.judge("\n".join(links[:25]) + "\n\\begin{thebibliography}{1}\n\\bibitem{a} A. Author, \\emph{Some title} 1 (2001), 1--9.\n\\end{thebibliography}")[0]
+    for stub in (links[0], "\\input{main}\n" + links[1], "lamp, pan, kettle, stove, belt", " ".join(EN.split()[:20]), EN + " " + EN.replace("kiln", "lamp")[:60]):
+        assert not keyword_spam.judge(stub)[0], stub
+
+
 # all queries
 
 
