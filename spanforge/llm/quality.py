@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import encoding_repair
 from .boosting import Boosted
+from .charmodel import EDGE
 from .common_words import SPACED, UNSPACED
 from .lines import line_texts
 from .lookalikes import _DROP
@@ -102,7 +103,7 @@ def line_sums(texts: list[str], model) -> np.ndarray:
             r[at[name]] = v
         for w in low:
             if len(w) >= 3 and w[:1].isalpha():
-                probe.append(w[:40])
+                probe.append(w.replace(EDGE, "\ufffd"))  # whole: a line of Chinese or Thai is one word
                 owner.append(i)
     if probe:
         total, _, m = model.score(probe)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.llm import chunking, consistent_form, encoding_repair, keyword_spam, mixing, packing, quality, sentences
+from spanforge.llm.charmodel import BI, TRI, UNI, WORD, CharModel
 from spanforge.llm.lines import line_texts, with_blocks
 from spanforge.llm.lookalikes import compatibility
 from spanforge.llm.quality_holdout import HOLDOUT
@@ -115,6 +116,18 @@ def test_quality_of_checked_documents(spark, data):
     assert quality.document_quality(df.limit(0)).count() == 0
 
 
+def test_long_words_are_scored_whole():
+    model = CharModel(*(np.ones(n, np.float32) for n in (UNI, BI, TRI, WORD)))
+    model.uni[:] = 0
+    model.uni[ord("a")] = 100
+    at = {n: i for i, n in enumerate(quality.SUMS)}
+    same, other, thai, odd = quality.line_sums(["a" * 300, "a" * 40 + "q" * 260, "ก" * 500 + " " + "ข" * 90, "a" * 50 + "\x02" + "a" * 9], model)
+    assert same[at["scored"]] == other[at["scored"]] == same[at["scored5"]] == 301 and thai[at["scored"]] == thai[at["scored5"]] == 592
+    assert other[at["logp"]] < same[at["logp"]] - 260 and odd[at["scored"]] == 61
+    pieces = quality.line_sums(["a" * 40], model)[0]
+    assert pieces[at["scored"]] == 41 and same[at["logp"]] < pieces[at["logp"]] < 0
+
+
 # problem 4
 
 
