@@ -170,15 +170,13 @@ def document_sums(lines: DataFrame, judge: encoding_repair.Repairer) -> DataFram
         own = encoding_repair.Repairer.of(sent.value)
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            parts = {p for t in texts if not t.isascii() and not encoding_repair.UNREADABLE.search(t) for p in encoding_repair.PARTS.split(t) if not p.isascii()}
+            parts = {p for t in texts if not t.isascii() for p in encoding_repair.PARTS.split(t) if not p.isascii()}
             own.learn(parts)
             fixed = []
             for t in texts:
                 if not t.isascii():
-                    if not encoding_repair.UNREADABLE.search(t):
-                        got = own.repair(t)
-                        t = got[0] if got else t
-                    t = clean(t)
+                    got = own.repair(t)
+                    t = clean(got[0] if got else t)
                 fixed.append(t)
             rows = line_sums(fixed, own.model)
             index: dict[str, int] = {}

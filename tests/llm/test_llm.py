@@ -57,6 +57,21 @@ def test_damage_is_found_and_restored(spark, corpus):
     assert got[(0, "font_name")].restored == "Lumière-Légère" and got[(0, "text")].whole and not got[(200, "text")].whole
 
 
+def test_damage_beside_and_in_private_use(spark, corpus):
+    for c in map(chr, range(0xE000, 0xF900)):  # what parts tokens is what no codec gives
+        given = any(c.encode(n, "ignore") for n in encoding_repair.SHOWN_AS)
+        assert given != bool(encoding_repair.PARTS.fullmatch(c)), hex(ord(c))
+    judge = encoding_repair.fit(corpus)
+    er = "Новый датчик меняет расход".encode("cp1251").decode("mac_roman")
+    word = "précise".encode().decode("latin_1")
+    assert "\uf8ff" in er
+    bad = {er: "Новый датчик меняет расход", "\uf0b7 La " + word: "\uf0b7 La précise", "\uf0b7" + word: "\uf0b7précise", "\uf0b7 th\ufffdorie": "\uf0b7 th\ufffdorie"}
+    good = ["\uf0b7 La théorie précise", "\uf8ff", "\uf8ff Helvetica", "\uf047\uf024 \ufffd\uf03f", "\ue047\ue024\ue03f \ue02c\ue06e", "\uf0b7"]
+    rows = [("x", 1, i, t, None, None, None) for i, t in enumerate([*bad, *good])]
+    got = {r.value: r.restored for r in encoding_repair.repair_spans(spark.createDataFrame(rows, SPAN), judge).collect()}
+    assert got == bad
+
+
 def test_repair_of_an_empty_table(spark, corpus):
     assert encoding_repair.repair_spans(corpus.limit(0)).count() == 0
 
