@@ -79,7 +79,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_pages(spark, sf_dir).where("stuffed").select("doc_id").distinct()
+    return keyword_spam.keyword_spam(_t(spark, sf_dir, "documents"), figures=False).where("stuffed").select("doc_id").distinct()
 
 
 def p8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -350,6 +350,15 @@ def test_short_pages_of_links():
         assert not keyword_spam.judge(stub)[0], stub
 
 
+def test_figures_of_ordinary_pages(spark):
+    page = " ".join(f"The price of item {i} depends on the season and on who asks for it." for i in range(30)) + "\n" + SPAM[0][:400]
+    got = {r.doc_id: r for r in keyword_spam.keyword_spam(spark.createDataFrame([(1, page, None, 1), (2, "see https://a.example/b now", None, 1), (3, SPAM[0], None, 1)], DOC)).collect()}
+    assert not got[1].stuffed and 0 < got[1].share < 0.5 and got[1].autocorrelation > 0
+    assert not got[2].stuffed and got[2].links == 1 / 3
+    for t in [page, *SPAM, *(t or "" for t in GOOD)]:
+        assert keyword_spam.judge(t)[0] == keyword_spam.judge(t, figures=False)[0]
+
+
 # all queries
 
 
