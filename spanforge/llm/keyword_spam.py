@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common_words import SPACED
 
 WINDOW, STEP, LAGS = 40, 20, 24
+#: standard deviation of the gaps of a term that recurs steadily, as a share of their mean; random gaps have about 1
+SPREAD = 0.5
 #: share of the content that must be stuffed; a stub has fewer terms than this and also fewer characters of content (a link is one term, however long)
 SHARE, LEAST_TERMS, LEAST_CHARS = 0.5, 30, 150
 
@@ -119,14 +121,34 @@ class Windows:
             np.maximum(best, self.inside(same) / np.maximum(1, self.width - 0.5 * lag), out=best)
         return best
 
-    def recur(self) -> np.ndarray:
-        """Share of the content terms that occurred less than a window before."""
-        order = np.argsort(self.ids, kind="stable")
-        gap = np.full(self.n, 1 << 30)
-        again = self.ids[order][1:] == self.ids[order][:-1]
-        gap[order[1:][again]] = np.diff(order)[again]
+    def gaps(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The positions at which a value of ``x`` recurs, and how far before it last occurred."""
+        order = np.argsort(x, kind="stable")
+        again = x[order][1:] == x[order][:-1]
+        return order[1:][again], np.diff(order)[again]
+
+    def steady(self) -> np.ndarray:
+        """Where a term, alone or with the one before, recurs all over the page at gaps that spread little against their mean."""
+        out = np.zeros(self.n, bool)
+        pairs = self.ids.astype(np.int64) * self.n
+        pairs[1:] += self.ids[:-1]
+        for x in (self.ids, pairs):
+            at, gap = self.gaps(x)
+            _, which = np.unique(x, return_inverse=True)
+            times = np.bincount(which[at], minlength=self.n)
+            mean = np.bincount(which[at], gap, self.n) / np.maximum(1, times)
+            spread = np.bincount(which[at], gap.astype(float) ** 2, self.n) / np.maximum(1, times) - mean**2
+            out |= ((times >= 2) & (spread <= (SPREAD * mean) ** 2))[which]
+        return out
+
+    def recur(self) -> tuple[np.ndarray, np.ndarray]:
+        """Share of the content terms that occurred less than a window before; with those that recur steadily, however far apart."""
+        at, gap = self.gaps(self.ids)
+        near = np.zeros(self.n, bool)
+        near[at] = gap <= WINDOW
         content = (self.kind == 0) | (self.kind == 2)
-        return self.inside((gap <= WINDOW) & content) / np.maximum(1, self.inside(content))
+        most = np.maximum(1, self.inside(content))
+        return self.inside(near & content) / most, self.inside((near | self.steady()) & content) / most
 
     def share(self, bad: np.ndarray) -> float:
         """Share of the content's characters under windows of which at least half are ``bad``."""
@@ -143,7 +165,7 @@ class Windows:
 
 def stuffed_windows(w: Windows, auto: np.ndarray) -> np.ndarray:
     """Windows without the function words of sentences that repeat too regularly or list links."""
-    recur = w.recur()
+    recur, far = w.recur()
     url, num = w.inside(w.kind == 2) / w.width, w.inside(w.kind == 3) / w.width
     linked = w.inside(w.sizes * (w.kind == 2)) / np.maximum(1, w.inside(w.sizes))
     strong = (auto >= 0.40) | (recur >= 0.80)
@@ -153,7 +175,7 @@ def stuffed_windows(w: Windows, auto: np.ndarray) -> np.ndarray:
     links = (url >= 0.10) | (linked >= 0.5) & (url > 0)
     listed, ends = w.inside((w.marks & 1) > 0) / w.width, w.inside((w.marks & 2) > 0) / w.width
     # where full stops part it into sentences, a window must be strong or repeat at a fixed lag
-    regular = strong | (recur >= 0.55) & (ends < 0.08) | (auto >= 0.28) & (recur >= 0.40)
+    regular = strong | ((recur >= 0.55) | (far >= 0.80)) & (ends < 0.08) | (auto >= 0.28) & (recur >= 0.40)
     nouns = (w.func <= 0.03) & (spoken <= 0.10) & (listed >= 0.25) & (ends <= 0.05) & (num < 0.15)
     return (bare & ~tabular & (regular | links)) | nouns
 

@@ -359,6 +359,16 @@ def test_figures_of_ordinary_pages(spark):
         assert keyword_spam.judge(t)[0] == keyword_spam.judge(t, figures=False)[0]
 
 
+def test_long_blocks_of_keywords():
+    rng = random.Random(3)
+    for size in (45, 80, 150):
+        block = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(size)]
+        assert keyword_spam.judge(" ".join(block * 5))[0], size
+        assert keyword_spam.judge(" ".join(w for _ in range(5) for w in rng.sample(block, size)))[0], size
+        assert not keyword_spam.judge(" ".join(block))[0], size
+    assert not keyword_spam.judge(" ".join(f"{EN} {FR} The tower in town {i} stands by the river." for i in range(9)))[0]
+
+
 # all queries
 
 
