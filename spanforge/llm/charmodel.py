@@ -98,33 +98,46 @@ class CharModel:
         return total, least, n
 
 
-def _touched(kind: int, table: np.ndarray) -> pa.RecordBatch:
-    at = np.flatnonzero(table)
-    return pa.record_batch({"kind": pa.array(np.full(len(at), kind, np.int32)), "cell": pa.array(at.astype(np.int32)), "n": pa.array(table[at].astype(np.int64))})
+#: characters a task gathers before it adds them to its tables
+GATHER = 1 << 20
 
 
 def count_chars(df: DataFrame, pieces) -> CharModel:
     """Count the strings ``pieces(batch)`` gives for each Arrow batch of ``df``, over all rows.
 
-    ``pieces`` returns the strings whose characters count, and the words beyond ASCII that count
-    as such. The result has at most UNI + BI + TRI + WORD cells, however large ``df`` is.
+    ``pieces`` returns strings with the number of times each counts, and words beyond ASCII with
+    theirs. The result has at most UNI + BI + TRI + WORD cells, however large ``df`` is.
     """
 
     def tables(batches):
-        uni, bi, tri, word = (np.zeros(n, np.int64) for n in (UNI, BI, TRI, WORD))
-        for batch in batches:
-            strings, words = pieces(batch)
-            if words:
-                word += np.bincount(np.fromiter((xxhash.xxh32_intdigest(w) & (WORD - 1) for w in words), np.int64, len(words)), minlength=WORD)
-            strings = [s for s in strings if s]
-            if not strings:
-                continue
+        made = [np.zeros(n, np.float64) for n in (UNI, BI, TRI, WORD)]
+        strings: list[str] = []
+        times: list[float] = []
+        gathered = 0
+
+        def add() -> None:
             c, b, a = _codes(strings)
-            uni += np.bincount(c & np.uint32(UNI - 1), minlength=UNI)
-            bi += np.bincount(_hash2(b, c), minlength=BI)
-            tri += np.bincount(_hash3(a, b, c), minlength=TRI)
-        for kind, table in enumerate((uni, bi, tri, word)):
-            yield _touched(kind, table)
+            # the mark after a string counts with it, the first one not at all
+            w = np.append(0.0, np.repeat(np.array(times, np.float64), np.fromiter(map(len, strings), np.int64, len(strings)) + 1))
+            for table, cells in zip(made, (c & np.uint32(UNI - 1), _hash2(b, c), _hash3(a, b, c))):
+                table += np.bincount(cells, w, len(table))
+            strings.clear()
+            times.clear()
+
+        for batch in batches:
+            new, counts, words, found = pieces(batch)
+            np.add.at(made[3], np.fromiter((xxhash.xxh32_intdigest(w) & (WORD - 1) for w in words), np.int64, len(words)), found)
+            strings += new
+            times += counts
+            gathered += sum(map(len, new))
+            if gathered > GATHER:
+                add()
+                gathered = 0
+        if strings:
+            add()
+        for kind, table in enumerate(made):
+            at = np.flatnonzero(table)
+            yield pa.record_batch({"kind": pa.array(np.full(len(at), kind, np.int32)), "cell": pa.array(at.astype(np.int32)), "n": pa.array(np.rint(table[at]).astype(np.int64))})
 
     cells = df.coalesce(MOST_TABLES).mapInArrow(tables, "kind int, cell int, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n"))
     got = cells.toArrow()
