@@ -60,6 +60,9 @@ class CharModel:
         self.uni, self.bi, self.tri, self.word = uni, bi, tri, word
         self.total = float(uni.sum())
 
+    def __add__(self, other: "CharModel") -> "CharModel":
+        return CharModel(self.uni + other.uni, self.bi + other.bi, self.tri + other.tri, self.word + other.word)
+
     def logp(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each character, and where each string starts in it.
 

@@ -34,9 +34,10 @@ def p2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _t(spark, sf_dir, "text_spans")
     keys = ["doc", "page_num", "span_seq"]
-    changed = consistent_form.consistent_form(spans).where("changed").select(*keys).distinct()
-    garbled = encoding_repair.repair_spans(spans).where("field = 'text'").select(*keys)
-    return changed.join(garbled, keys, "left_anti")
+    changed = consistent_form.changed_spans(spans).select(*keys, "text")
+    # a span is left out if one of its tokens is damaged; only tokens of changed spans are asked for
+    seen = encoding_repair.with_verdicts(changed, "text", encoding_repair.damaged_tokens(spans), "left")
+    return seen.groupBy(*keys).agg(F.max("hit").alias("garbled")).where("not garbled").select(*keys)
 
 
 def p3_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
