@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import checkpointed
 from . import encoding_repair
 from .boosting import Boosted
 from .charmodel import EDGE
@@ -34,11 +36,13 @@ INDEXED = re.compile(r"^\D{2,60},\s*\d{1,4}(?:[–—‐‑-]\d{1,4})?(?:,\s*\d{
 NUMBER = re.compile(r"^[+–—-]?[€$£]?\d[\d.,:/%–-]*(?:%|[a-zA-Zµ°]{1,3})?$")
 VALUE = re.compile(r"^(?:[+–—-]|yes|no|n/a|na|nan|true|false|x|[A-Z]|[A-Z]{1,3}-?\d+|kg|mm|cm|km|m|s|h|%|kPa|Pa|°C|K)$")
 FIELD = re.compile(r"^\s*[^:]{1,40}:\s*[+-]?\d[\d.,]*\s*\S{0,5}\s*$")
-ENDS = re.compile(r"[.!?…。！？।॥؟;；][\"'”’»)\]」』]*\s*$")
+#: closing marks and what ends a sentence before them
+CLOSING, ENDING = "\"'”’»)]」』", ".!?…。！？।॥؟;；"
 TURNED = re.compile(r"^\s*[.?!,;。]\S")
 HEX = re.compile(r"^[0-9a-f]{2,}$")
 INNER = re.compile(r"[.!?…。！？।؟][\"'”’»)\]」』]*\s+[^\W\d_a-z]|[。！？]")
-SPACELESS = re.compile(r"[฀-໿぀-ヿ㐀-鿿]")
+#: lines in which a marker stands for a list entry count whole up to this length, longer ones (numbered paragraphs) less and less
+ENTRY = 150
 
 SUMS = (
     "lines chars letters digits symbols odd words word_chars common ends marker leader numbers values turned hexes inner low_start logp scored "
@@ -50,69 +54,109 @@ def clean(text: str) -> str:
     return unicodedata.normalize("NFKC", text.translate(_DROP))
 
 
+LETTER, DIGIT, SYMBOL, ODD, SPACELESS, BLANK = 1, 2, 4, 8, 16, 32
+
+
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    """The classes of every code point."""
+    out = np.zeros(0x110000, np.uint8)
+    for cp in range(0x110000):
+        c = unicodedata.category(chr(cp))
+        if c[0] in "LM":
+            out[cp] = LETTER
+        elif c[0] == "N":
+            out[cp] = DIGIT
+        elif c in ("Co", "Cn", "Cc", "So") or cp == 0xFFFD:
+            out[cp] = ODD | SYMBOL
+        elif c[0] != "Z":
+            out[cp] = SYMBOL
+    for first, last in ((0x0E00, 0x0EFF), (0x3040, 0x30FF), (0x3400, 0x9FFF)):  # Thai and Lao, kana, Han
+        out[first : last + 1] |= SPACELESS
+    return out
+
+
+def _class_counts(lines: list[str]) -> dict[int, np.ndarray]:
+    """How many characters of each class every line has."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    at = np.append(0, np.cumsum(n))
+    kind = _classes()[codes]
+    out = {}
+    for bit in (LETTER, DIGIT, SYMBOL, ODD, SPACELESS):
+        c = np.append(0, np.cumsum((kind & bit) > 0))
+        out[bit] = c[at[1:]] - c[at[:-1]]
+    return out
+
+
+#: figures of a word: length, common, number, value, hexadecimal, starts with a capital, log probability, scored characters, and these two if it has five or more
+WORD = ("word_chars", "common", "numbers", "values", "hexes", "capitals", "logp", "scored", "logp5", "scored5")
+
+
+def word_figures(words: list[str], model) -> np.ndarray:
+    """A row of figures for each word (see ``WORD``)."""
+    out = np.zeros((len(words), len(WORD)))
+    low = [w.strip(".,;:!?\"'()[]“”„«»’").lower() for w in words]
+    for i, w in enumerate(words):
+        c = w[0]
+        out[i, 0] = len(w)
+        out[i, 1] = low[i] in SPACED
+        if c.isdigit() or c in "+–—-€$£":
+            out[i, 2] = bool(NUMBER.match(w))
+        out[i, 3] = bool(VALUE.match(w))
+        out[i, 4] = len(w) % 2 == 0 and bool(HEX.match(w))
+        out[i, 5] = c.isupper()
+    asked = [i for i, w in enumerate(low) if len(w) >= 3 and w[0].isalpha()]
+    if asked:
+        total, _, m = model.score([low[i].replace(EDGE, "\ufffd") for i in asked])  # whole: a line of Chinese or Thai is one word
+        out[asked, 6], out[asked, 7] = total, m
+        long = np.fromiter((len(low[i]) >= 5 for i in asked), bool, len(asked))
+        out[asked, 8], out[asked, 9] = total * long, m * long
+    return out
+
+
 def line_sums(texts: list[str], model) -> np.ndarray:
-    """A row of sums for each line (see ``SUMS``)."""
+    """A row of sums for each line (see ``SUMS``). Each different word of the lines is looked at once."""
     out = np.zeros((len(texts), len(SUMS)))
     at = {n: i for i, n in enumerate(SUMS)}
-    probe: list[str] = []
-    owner: list[int] = []
-    for i, t in enumerate(texts):
-        s = t.strip()
-        if not s:
-            continue
-        r = out[i]
-        n = len(s)
-        letters = digits = symbols = odd = 0
-        if s.isascii():
-            letters = sum(map(str.isalpha, s))
-            digits = sum(map(str.isdigit, s))
-            symbols = n - letters - digits - s.count(" ")
-        else:
-            for ch in s:
-                c = unicodedata.category(ch)
-                if c[0] in "LM":
-                    letters += 1
-                elif c[0] == "N":
-                    digits += 1
-                elif c in ("Co", "Cn", "Cc", "So") or ch == "�":
-                    odd += 1
-                    symbols += 1
-                elif c[0] != "Z":
-                    symbols += 1
-        words = s.split()
-        k = len(words)
-        spaceless = len(SPACELESS.findall(s))
-        low = [w.strip(".,;:!?\"'()[]“”„«»’").lower() for w in words]
-        numbers = sum(1 for w in words if NUMBER.match(w))
-        values = sum(1 for w in words if VALUE.match(w))
-        hexes = sum(1 for w in words if HEX.match(w) and len(w) % 2 == 0)
-        common = sum(1 for w in low if w in SPACED)
-        if spaceless > n // 3:
-            common += sum(s.count(w) for w in {x for ws in UNSPACED.values() for x in ws})
-        marker = n <= 150 and bool(MARKER.match(s)) or bool(INDEXED.match(s)) or bool(LEADER.search(s))
-        field = bool(FIELD.match(s))
-        table = field or (k >= 2 and numbers + values >= 0.5 * k) or (k >= 4 and numbers + values >= 0.4 * k)
-        turned = bool(TURNED.match(s))
-        vals = {
-            "lines": 1, "chars": n, "letters": letters, "digits": digits, "symbols": symbols, "odd": odd, "words": k, "word_chars": sum(map(len, words)), "common": common, "ends": bool(ENDS.search(s)),
-            "marker": marker, "leader": bool(LEADER.search(s)), "numbers": numbers, "values": values, "turned": turned, "hexes": hexes, "inner": len(INNER.findall(s)), "low_start": s[0].islower(),
-            "c_marker": n * (marker and not table), "c_table": n * table, "c_hex": n * (k >= 1 and hexes >= 0.8 * k and digits > 0), "c_turned": n * turned, "c_odd": odd, "c_ends": n * bool(ENDS.search(s)),
-            "spaceless": spaceless, "list_chars": n * (marker or (n < 45 and not ENDS.search(s))), "short": n < 45, "long_lines": n > 120, "title_lines": k <= 8 and sum(w[:1].isupper() for w in words) >= 0.6 * k,
-        }
-        for name, v in vals.items():
-            r[at[name]] = v
-        for w in low:
-            if len(w) >= 3 and w[:1].isalpha():
-                probe.append(w.replace(EDGE, "\ufffd"))  # whole: a line of Chinese or Thai is one word
-                owner.append(i)
-    if probe:
-        total, _, m = model.score(probe)
-        np.add.at(out[:, at["logp"]], owner, total)
-        np.add.at(out[:, at["scored"]], owner, m)
-        long = np.fromiter((len(w) >= 5 for w in probe), bool, len(probe))
-        who = np.array(owner)[long]
-        np.add.at(out[:, at["logp5"]], who, total[long])
-        np.add.at(out[:, at["scored5"]], who, m[long])
+    stripped = [(i, s) for i, t in enumerate(texts) if (s := t.strip())]
+    if not stripped:
+        return out
+    rows, lines = [i for i, _ in stripped], [s for _, s in stripped]
+    count = _class_counts(lines)
+    n = np.fromiter(map(len, lines), np.float64, len(lines))
+    index: dict[str, int] = {}
+    split = [s.split() for s in lines]
+    ids = np.fromiter((index.setdefault(w, len(index)) for ws in split for w in ws), np.int64)
+    k = np.fromiter(map(len, split), np.int64, len(lines))
+    owner = np.repeat(np.arange(len(lines)), k)
+    by_word = word_figures(list(index), model)[ids]
+    w = {name: np.bincount(owner, by_word[:, j], len(lines)) for j, name in enumerate(WORD)}
+    spaceless = count[SPACELESS]
+    unspaced = {x for ws in UNSPACED.values() for x in ws}
+    for j in np.flatnonzero(spaceless > n // 3):
+        w["common"][j] += sum(lines[j].count(x) for x in unspaced)
+    flags = np.zeros((6, len(lines)), bool)
+    inner = np.zeros(len(lines))
+    for j, s in enumerate(lines):
+        last, ends = s[-1], s.rstrip(CLOSING)[-1:]
+        leader = last.isalnum() and bool(LEADER.search(s))
+        indexed = last.isdigit() and bool(INDEXED.match(s))
+        flags[:, j] = (bool(MARKER.match(s)) or indexed or leader, leader, indexed, ":" in s and bool(FIELD.match(s)), ends != "" and ends in ENDING, bool(TURNED.match(s)))
+        inner[j] = len(INNER.findall(s))
+    marker, leader, indexed, field, ends, turned = flags
+    cells = w["numbers"] + w["values"]
+    table = ~indexed & (field | (k >= 2) & (cells >= 0.5 * k) | (k >= 4) & (cells >= 0.4 * k))
+    entry = marker * np.minimum(1.0, ENTRY / n)
+    low_start = np.fromiter((s[0].islower() for s in lines), bool, len(lines))
+    vals = {
+        "lines": 1, "chars": n, "letters": count[LETTER], "digits": count[DIGIT], "symbols": count[SYMBOL], "odd": count[ODD], "words": k, "word_chars": w["word_chars"], "common": w["common"], "ends": ends,
+        "marker": entry, "leader": leader, "numbers": w["numbers"], "values": w["values"], "turned": turned, "hexes": w["hexes"], "inner": inner, "low_start": low_start, "logp": w["logp"], "scored": w["scored"],
+        "c_marker": n * entry * ~table, "c_table": n * table, "c_hex": n * ((k >= 1) & (w["hexes"] >= 0.8 * k) & (count[DIGIT] > 0)), "c_turned": n * turned, "c_odd": count[ODD], "c_ends": n * ends, "spaceless": spaceless,
+        "list_chars": n * np.maximum(entry, (n < 45) & ~ends), "short": n < 45, "long_lines": n > 120, "title_lines": (k <= 8) & (w["capitals"] >= 0.6 * k), "logp5": w["logp5"], "scored5": w["scored5"],
+    }
+    for name in SUMS:
+        out[rows, at[name]] = vals[name]
     return out
 
 
@@ -162,23 +206,42 @@ def weak_labels(x: np.ndarray) -> np.ndarray:
 SUM_SCHEMA = "doc string, " + ", ".join(f"{n} double" for n in SUMS)
 
 
-def document_sums(lines: DataFrame, judge: encoding_repair.Repairer) -> DataFrame:
+class Mender:
+    """Restores damaged tokens in a worker: from the verdicts if they are few enough to be sent, else by the judge that
+    gives the same ones."""
+
+    def __init__(self, fixes: dict[str, str] | None, judge: encoding_repair.Repairer):
+        self.fixes, self.judge = fixes, judge
+
+    def mend(self, texts: list[str]) -> list[str]:
+        """Each text beyond ASCII restored and in one plain form."""
+        odd = [i for i, t in enumerate(texts) if not t.isascii()]
+        parts = {i: encoding_repair.PARTS.split(texts[i]) for i in odd}
+        fixes = self.fixes
+        if fixes is None:
+            asked = sorted({p for ps in parts.values() for p in ps if not p.isascii()})
+            fixes = {t: f[0] for t, f in zip(asked, self.judge.judge(asked)) if f}
+        out = list(texts)
+        for i in odd:
+            if not fixes.keys().isdisjoint(parts[i]):
+                out[i] = "".join(fixes.get(p, p) for p in parts[i])
+            out[i] = clean(out[i])
+        return out
+
+
+def document_sums(lines: DataFrame, judge: encoding_repair.Repairer, found: DataFrame) -> DataFrame:
     """Sums by document. Each Arrow batch is summed by document before it is shuffled."""
-    sent = lines.sparkSession.sparkContext.broadcast(judge.state())
+    few = (found.agg(F.sum(F.length("token") + F.length("fixed"))).first()[0] or 0) <= encoding_repair.BROADCAST_CHARS
+    fixes = {r["token"]: r["fixed"] for r in found.where("not lost").select("token", "fixed").toArrow().to_pylist()} if few else None
+    sent = lines.sparkSession.sparkContext.broadcast((fixes, judge.state()))
 
     def run(batches):
-        own = encoding_repair.Repairer.of(sent.value)
+        fixed, state = sent.value
+        own = encoding_repair.Repairer.of(state)
+        mender = Mender(fixed, own)
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            parts = {p for t in texts if not t.isascii() for p in encoding_repair.PARTS.split(t) if not p.isascii()}
-            own.learn(parts)
-            fixed = []
-            for t in texts:
-                if not t.isascii():
-                    got = own.repair(t)
-                    t = clean(got[0] if got else t)
-                fixed.append(t)
-            rows = line_sums(fixed, own.model)
+            docs = batch.column(0).to_pylist()
+            rows = line_sums(mender.mend([t or "" for t in batch.column(1).to_pylist()]), own.model)
             index: dict[str, int] = {}
             at = np.fromiter((index.setdefault(d, len(index)) for d in docs), np.int64, len(docs))
             sums = np.zeros((len(index), len(SUMS)))
@@ -189,8 +252,11 @@ def document_sums(lines: DataFrame, judge: encoding_repair.Repairer) -> DataFram
 
 
 def fit(sums: DataFrame, model, train_docs: int = TRAIN_DOCS) -> Boosted:
-    """Fit the trees on at most ``train_docs`` documents, by hash order; calibrate on the holdout."""
-    from .quality_holdout import HOLDOUT
+    """Fit the trees on at most ``train_docs`` documents, by hash order; calibrate on the holdout, which is never fitted on.
+
+    For a kind no document is surely of, a few written examples stand in.
+    """
+    from .quality_holdout import EXAMPLES, HOLDOUT
 
     got = sums.orderBy(F.xxhash64("doc"), "doc").limit(train_docs).toArrow()
     table = np.stack([got[n].to_numpy() for n in SUMS], axis=1) if got.num_rows else np.zeros((0, len(SUMS)))
@@ -201,9 +267,9 @@ def fit(sums: DataFrame, model, train_docs: int = TRAIN_DOCS) -> Boosted:
     sure = y >= 0
     missing = [k for k in range(len(KINDS)) if not (y[sure] == k).any()]
     x, y = x[sure], y[sure]
-    if missing:  # too little data to learn a kind from: the holdout stands in
-        extra = np.isin(truth, missing)
-        x, y = np.concatenate([x, features(held)[extra]]), np.concatenate([y, truth[extra]])
+    if missing:
+        extra = [(KINDS.index(k), line_sums([clean(t) for t in ls], model).sum(0)) for k, ls in EXAMPLES if KINDS.index(k) in missing]
+        x, y = np.concatenate([x, features(np.stack([r for _, r in extra]))]), np.concatenate([y, [k for k, _ in extra]])
     return Boosted(KINDS).fit(x, y).calibrate(features(held), truth)
 
 
@@ -215,15 +281,14 @@ def document_quality(text_lines: DataFrame) -> DataFrame:
 
     words, mean_word_length, symbol_ratio (symbols of all characters but blanks), ends_share
     (lines that end in punctuation, of those with text), common_share (common words of all words),
-    kind and its probability. Repeated lines count once. A document without any text has all
+    kind and its probability. Lines repeated exactly count once. A document without any text has all
     statistics 0 and is junk with probability 1: there is nothing a reader could read.
     """
-    lines = line_texts(text_lines)
-    raw = text_lines.select(F.explode("spans").alias("s")).select(F.col("s.text").alias("text"), F.lit(None).cast("string").alias("font_name"))
-    judge = encoding_repair.fit(raw)
-    from ..checkpoint import checkpointed
-
-    sums = checkpointed(document_sums(lines, judge))  # one narrow row a document
+    lines = line_texts(text_lines, once=False).distinct()
+    raw = text_lines.select(F.explode("spans").alias("s")).select(F.col("s.text").alias("text"))
+    fitted = encoding_repair.fit_counts(encoding_repair.token_counts(raw))
+    judge = fitted.judge
+    sums = checkpointed(document_sums(lines, judge, encoding_repair.verdicts(fitted.asked, judge)))  # one narrow row a document
     trees = fit(sums, judge.model)
     sent = text_lines.sparkSession.sparkContext.broadcast((trees.trees, trees.temperature, trees.rate))
 
