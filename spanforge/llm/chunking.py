@@ -1,12 +1,12 @@
 """Problem 5: cutting documents that are too long into pieces at natural boundaries.
 
 A document's lines are read as a tree: pages, sections under their headings, paragraphs and
-lists, lines, sentences, words. Packing works from the leaves up: neighbouring subtrees are
-merged while they stay within the limit, and only a node that is too large is opened at all.
-Each piece after the first repeats about ``overlap_chars`` characters of the one before, counted
-in its size. Documents are worked on in blocks of about 1,024 lines that start at a page change
-or blank line, so the size of a document bounds no task; the repeated text crosses from block to
-block through one small row for each block.
+lists, lines, sentences, words. A node within the limit stays whole and is merged with its
+neighbouring siblings up to the limit; only a node beyond it is opened, and its parts are merged
+among themselves. Each piece after the first repeats about ``overlap_chars`` characters of the text
+before it, counted in its size. Documents are worked on in blocks of about 4,096 lines that start at
+a page change or blank line, so the size of a document bounds no task; a block brings the lines
+before it that its first piece repeats.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lines import line_texts, with_blocks, with_totals
+from .lines import blocks, in_blocks, line_texts, longest, measures
 
 HEADING = re.compile(r"^\s*(?:\d{1,3}(?:\.\d{1,3}){0,4}[.)]?\s+\S|[IVXLC]{1,6}\.\s+\S|#{1,6}\s|\\(?:part|chapter|(?:sub)*section)\b)")
 ITEM = re.compile(r"^\s*(?:[•‣▪–—*-]\s|\(?\w{1,3}\)\s|\[\d+\]|\\item\b)")
@@ -82,41 +82,34 @@ def tree(lines: list[tuple[str, int | None, bool]]) -> tuple[str, Node]:
     return text, _span(nodes) if nodes else (0, 0, [])
 
 
-def _open(text: str, node: Node, limit: int) -> list[Node]:
-    """The largest subtrees within the limit; only nodes beyond it are opened."""
+def _children(text: str, node: Node, limit: int) -> list[Node]:
+    """The parts of a node beyond the limit: those of the tree, of a line its sentences, else its words, else equal parts."""
     start, end, children = node
-    if end - start <= limit:
-        return [node]
-    if not children:
-        for cut in (SENTENCE, WORD):
-            children = _parts(text, start, end, cut)
-            if len(children) > 1:
-                break
-        else:
-            return [(i, min(i + limit, end), []) for i in range(start, end, limit)]
-    return [u for c in children for u in _open(text, c, limit)]
+    if children:
+        return children
+    for cut in (SENTENCE, WORD):
+        parts = _parts(text, start, end, cut)
+        if len(parts) > 1:
+            return parts
+    return [(i, min(i + limit, end), []) for i in range(start, end, limit)]
 
 
 def pack(text: str, node: Node, limit: int) -> list[tuple[int, int]]:
-    """Consecutive ranges of at most ``limit`` characters that cover the node.
-
-    Neighbouring subtrees are merged to the limit. A range left less than half full takes what
-    fits of the next subtree's children, so that one large sibling doesn't strand a small one.
-    """
+    """Consecutive ranges of at most ``limit`` characters that cover the node."""
+    if node[1] - node[0] <= limit:
+        return [node[:2]] if node[1] > node[0] else []
     out: list[tuple[int, int]] = []
-    todo = _open(text, node, limit)[::-1]
-    while todo:
-        a, b, children = unit = todo.pop()
-        if out and b - out[-1][0] <= limit:
+    whole = False  # the last range is made of whole siblings
+    for child in _children(text, node, limit):
+        a, b, _ = child
+        if b - a > limit:
+            out += pack(text, child, limit)
+            whole = False
+        elif whole and b - out[-1][0] <= limit:
             out[-1] = (out[-1][0], b)
-        elif out and out[-1][1] - out[-1][0] < limit // 2:
-            parts = children or _open(text, unit, max(1, limit - (out[-1][1] - out[-1][0])))
-            if len(parts) > 1:
-                todo += parts[::-1]
-            else:
-                out.append((a, b))
         else:
             out.append((a, b))
+            whole = True
     return out
 
 
@@ -134,32 +127,35 @@ def tail(text: str, overlap: int) -> str:
     return part
 
 
-SCHEMA = "profile string, doc string, block bigint, k int, first_line int, last_line int, first_page int, last_page int, start_char bigint, end_char bigint, body string, tail string, head string"
+SCHEMA = "profile string, doc string, start_char bigint, end_char bigint, first_line int, last_line int, first_page int, last_page int, overlap int, text string"
 
 
 def pieces(text_lines: DataFrame, limits: DataFrame) -> DataFrame:
     """Pieces of every document longer than ``max_chars``, for each profile of ``limits``.
 
-    One row a piece: profile, doc, piece_no (from 0), first_line, last_line, first_page, last_page,
-    start_char, end_char (of what the piece adds, in the document's text), overlap (characters
-    repeated from the piece before) and text, never longer than max_chars. The text of a document
-    is its lines, each followed by a newline; repeated lines count once. Profiles with a null or
+    One row a piece: profile, doc, start_char, end_char (of what the piece adds, in the document's text; they
+    order the pieces), first_line, last_line, first_page, last_page, overlap (characters repeated from the text
+    before) and text, never longer than max_chars. The text of a document is its lines, each followed by a
+    newline; of rows with the same line_no the longest counts. Profiles with a null or
     not positive max_chars are ignored; a null overlap counts as none, one of more than half of
-    max_chars as half. Empty documents are never too long.
+    max_chars as half. Empty documents are never too long. Lengths are added up from narrow rows; the texts
+    of documents that are too long are shuffled once.
     """
-    lines = line_texts(text_lines)
     rows = limits.select("profile", "max_chars", "overlap_chars").where("max_chars > 0").distinct().limit(MOST_PROFILES + 1).collect()
     if len(rows) > MOST_PROFILES:
         raise ValueError(f"more than {MOST_PROFILES} profiles")
     profiles = [(r[0], int(r[1]), max(0, min(int(r[2] or 0), int(r[1]) // 2))) for r in rows]
-    least = min((m for _, m, _ in profiles), default=None)
-    if least is None:
-        least, profiles = 1 << 62, []
-    blocks = with_blocks(with_totals(lines).where(F.col("total") > least), at_pages=True)
+    least = min((m for _, m, _ in profiles), default=1 << 62)
+    context = 2 * max((o for _, _, o in profiles), default=0)
+    lines = line_texts(text_lines)
+    table = blocks(measures(lines), at_pages=True, context=context).where(F.col("total") > least)
 
     def run(key, table):
-        got = sorted(zip(table["line_no"].to_pylist(), table["text"].to_pylist(), table["page"].to_pylist(), table["blank"].to_pylist()))
-        total = table["total"][0].as_py()
+        col = {n: table[n].to_pylist() for n in ("line_no", "text", "page", "blank")}
+        total, first, base = (table[n][0].as_py() for n in ("total", "first", "start_char"))
+        got = longest(col["line_no"], col["text"], col["page"], col["blank"])
+        before = "".join(t + "\n" for no, t, _, _ in got if no < first)
+        got = [r for r in got if r[0] >= first]
         text, root = tree([(t, p, b) for _, t, p, b in got])
         starts, at = [], 0
         for _, t, _, _ in got:
@@ -170,33 +166,19 @@ def pieces(text_lines: DataFrame, limits: DataFrame) -> DataFrame:
             if total <= most:
                 continue
             i = 0
-            for k, (a, b) in enumerate(pack(text, root, most - overlap)):
+            for a, b in pack(text, root, most - overlap):
                 while i + 1 < len(starts) and starts[i + 1] <= a:
                     i += 1
                 j = i
                 while j + 1 < len(starts) and starts[j + 1] < b:
                     j += 1
                 paged = [p for _, _, p, _ in got[i : j + 1] if p is not None]
-                body = text[a:b]
-                head = tail(text[:a][-(2 * overlap) :], overlap) if k else ""
-                out.append((profile, key[0].as_py(), key[1].as_py(), k, got[i][0], got[j][0], paged[0] if paged else None, paged[-1] if paged else None, a, b, body, tail(body, overlap), head))
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+                past = text[max(0, a - 2 * overlap) : a] if a >= 2 * overlap else before[len(before) - min(len(before), 2 * overlap - a) :] + text[:a]
+                head = tail(past, overlap)
+                out.append((profile, key[0].as_py(), base + a, base + b, got[i][0], got[j][0], paged[0] if paged else None, paged[-1] if paged else None, len(head), head + text[a:b]))
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
         cols = list(zip(*out)) if out else [[]] * len(kinds)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         return pa.table([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=names)
 
-    made = blocks.groupBy("doc", "block").applyInArrow(run, SCHEMA)
-    # one small row for each block carries counts and the repeated text on to the next block
-    ends = made.groupBy("profile", "doc", "block").agg(F.count("*").alias("n"), F.max("end_char").alias("chars"), F.max_by("tail", "k").alias("_tail"))
-    past = Window.partitionBy("profile", "doc").orderBy("block")
-    before = past.rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
-        "profile", "doc", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("_c"), F.coalesce(F.lag("_tail").over(past), F.lit("")).alias("_prev")
-    )
-    joined = made.join(carried, ["profile", "doc", "block"])
-    head = F.when(F.col("k") == 0, F.col("_prev")).otherwise(F.col("head"))
-    return joined.select(
-        "profile", "doc", (F.col("_n") + F.col("k")).cast("int").alias("piece_no"), "first_line", "last_line", "first_page", "last_page",
-        (F.col("_c") + F.col("start_char")).alias("start_char"), (F.col("_c") + F.col("end_char")).alias("end_char"),
-        F.length(head).alias("overlap"), F.concat(head, F.col("body")).alias("text"),
-    )
+    return in_blocks(lines, table).groupBy("doc", "block").applyInArrow(run, SCHEMA)

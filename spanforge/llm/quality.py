@@ -23,7 +23,7 @@ from . import encoding_repair
 from .boosting import Boosted
 from .charmodel import EDGE
 from .common_words import SPACED, UNSPACED
-from .lines import line_texts
+from .lines import BLOCK, line_texts
 from .lookalikes import _DROP
 
 #: documents the trees are fitted on, taken by hash order
@@ -284,7 +284,8 @@ def document_quality(text_lines: DataFrame) -> DataFrame:
     kind and its probability. Lines repeated exactly count once. A document without any text has all
     statistics 0 and is junk with probability 1: there is nothing a reader could read.
     """
-    lines = line_texts(text_lines, once=False).distinct()
+    # a document, or a block of a long one, stays together, so that few partial sums leave a task
+    lines = line_texts(text_lines).repartition("doc", F.floor(F.col("line_no") / BLOCK)).distinct()
     raw = text_lines.select(F.explode("spans").alias("s")).select(F.col("s.text").alias("text"))
     fitted = encoding_repair.fit_counts(encoding_repair.token_counts(raw))
     judge = fitted.judge

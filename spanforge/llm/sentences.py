@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lines import line_texts, of_documents, with_blocks
+from .lines import blocks, in_blocks, line_texts, longest, measures, of_documents
 
 #: paragraphs (and Thai lines) the model is fitted on, taken by hash order
 TRAIN_PARAGRAPHS = 5000
@@ -356,14 +356,13 @@ def sentence_ends(text_lines: DataFrame, docs: DataFrame | None = None, tagger:
     blocks of about 1,024 lines that are worked on apart, so no document is gathered in one task.
     Blank documents give no rows; null texts count as empty; repeated rows count once.
     """
-    wanted = text_lines if docs is None else of_documents(text_lines, docs)
-    lines = line_texts(wanted)
-    tagger = tagger or fit(line_texts(wanted, once=False))
+    lines = line_texts(text_lines if docs is None else of_documents(text_lines, docs))
+    tagger = tagger or fit(lines)
     sent = text_lines.sparkSession.sparkContext.broadcast(tagger.w)
 
     def run(key, table):
-        rows = sorted(zip(table["line_no"].to_pylist(), table["text"].to_pylist(), table["page"].to_pylist(), table["blank"].to_pylist()))
+        rows = longest(*(table[n].to_pylist() for n in ("line_no", "text", "page", "blank")))
         got = ends(rows, Tagger(sent.value))
         return pa.table({"doc": pa.array([key[0].as_py()] * len(got), pa.string()), "line_no": pa.array([g[0] for g in got], pa.int32()), "end_char": pa.array([g[1] for g in got], pa.int32())})
 
-    return with_blocks(lines, at_pages=False).groupBy("doc", "block").applyInArrow(run, SCHEMA)
+    return in_blocks(lines, blocks(measures(lines), at_pages=False)).groupBy("doc", "block").applyInArrow(run, SCHEMA)
