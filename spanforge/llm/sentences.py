@@ -1,13 +1,16 @@
 """Problem 4: sentence boundaries in many languages and scripts.
 
-Every place where a sentence may end is tagged boundary or inside by a linear-chain model: a
-weight for each feature of the place and for each pair of neighbouring tags, trained with the
-averaged structured perceptron and decoded with Viterbi. Labels for training come from the
+Every character is tagged boundary or inside by a linear-chain model: a weight for each feature of
+the character and for each pair of tags, trained with the averaged structured perceptron and decoded
+with Viterbi. Characters in running words of scripts that write full stops share one set of features
+and are never boundaries, so only the others are laid out: those before blanks, line ends
+and closing marks, behind terminators, and the last one of a paragraph. Labels for training come from the
 corpus itself, beside a few paragraphs marked by hand: paragraph ends are boundaries, decimals and lower-case continuations are not;
-places that are left open take the tags the model finds likeliest under those that are known.
-For Thai, which writes no period, the model learns from text whose blanks were stripped: where
-a blank stood is a boundary, everywhere else is inside; it then judges line breaks, where the
-blank is gone.
+what is left open takes the tags the model finds likeliest under those that are known.
+For scripts that may go unpunctuated (Thai writes no period, Chinese and Japanese may leave it out) the model
+learns from lines stripped of their blanks and terminators: where one stood is a boundary, every other
+character is inside. It then judges line breaks in Thai, where the blank is gone, and every character of a
+paragraph in which no blank or terminator is left.
 """
 
 from __future__ import annotations
@@ -22,14 +25,20 @@ from pyspark.sql import functions as F
 
 from .lines import blocks, in_blocks, line_texts, longest, measures, of_documents
 
-#: paragraphs (and Thai lines) the model is fitted on, taken by hash order
+#: paragraphs (and lines of Thai, and of Han and kana) the model is fitted on, taken by hash order
 TRAIN_PARAGRAPHS = 5000
 TRAIN_THAI = 1500
+#: of so many lines one is laid out character by character
+BARE_STEP = 10
 
 TERMINATORS = ".!?…。！？।॥؟．｡"
 CLOSERS = "\"'”’»›)]}」』）】"
 PLACE = re.compile(rf"(?:[{re.escape(TERMINATORS)}]|(?<=[Ͱ-Ͽἀ-῿\)\d])[;;])+(?:\s?[»›]|[{re.escape(CLOSERS)}]|(?<=[.!?…])“|(?<=[.!?…;\)])[^\s\w]{{1,8}}(?=\s|$)|(?<=[.!?…])(?:[^\x00-\x7f\s]|[^\w\s]){{1,8}}(?=\s|$))*")
 THAI_GAP = re.compile(r"(?<=[฀-๿])[ \n]+(?=[฀-๿])")
+#: runs of Thai or of Han and kana, over line ends; what parts their sentences; characters that never begin one
+BARE_RUN = re.compile(r"[฀-๿](?:\n?[฀-๿])+|[぀-ヿ㐀-鿿々](?:\n?[぀-ヿ㐀-鿿々])+")
+MARKED = re.compile(r"(?<=[฀-๿]) +(?=[฀-๿])|[。！？｡][”」』]*")
+TIED = re.compile(r"[ัิ-ฺ็-๎ะาำๅๆぁぃぅぇぉっゃゅょァィゥェォッャュョー々]")
 TOKEN_BEFORE = re.compile(r"[^\s“„«»‹›\"'()\[\]{}「『（【,;:，、：]+$")
 NUMBER = re.compile(r"^[+-]?\d[\d.,:/-]*$")
 CJK = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -150,20 +159,33 @@ def _punctuated(text: str, m: re.Match) -> Place:
     return Place(end, f, label)
 
 
-def _thai_feats(left: str, right: str) -> list[str]:
-    return ["thai"] + [f"L{n}={left[-n:]}" for n in (1, 2, 3, 4, 6)] + [f"R{n}={right[:n]}" for n in (1, 2, 3, 4, 6)] + [f"LR={left[-2:]}|{right[:2]}"]
+def _bare_feats(left: str, right: str) -> list[str]:
+    return ["thai" if "฀" <= left[-1:] <= "๿" else "han"] + [f"L{n}={left[-n:]}" for n in (1, 2, 3, 4, 6)] + [f"R{n}={right[:n]}" for n in (1, 2, 3, 4, 6)] + [f"LR={left[-2:]}|{right[:2]}"]
 
 
 def _thai(text: str, m: re.Match) -> Place:
     left, right = text[max(0, m.start() - 10) : m.start()].replace("\n", ""), text[m.end() : m.end() + 8].replace("\n", "")
-    return Place(m.start(), _thai_feats(left, right) + (["blank"] if " " in m.group() else []), 1 if " " in m.group() else None)
+    return Place(m.start(), _bare_feats(left, right) + (["blank"] if " " in m.group() else []), 1 if " " in m.group() else None)
+
+
+def _bare(text: str) -> list[Place]:
+    """Every character of the unpunctuated runs of a paragraph that another sentence may follow."""
+    out = []
+    for m in BARE_RUN.finditer(text):
+        run = m.group().replace("\n", "")
+        at = [i for i, c in enumerate(m.group()) if c != "\n"]
+        out += [Place(m.start() + at[i - 1] + 1, _bare_feats(run[max(0, i - 10) : i], run[i : i + 8]) + ["bare"], None) for i in range(2, len(run) - 1) if not TIED.match(run[i])]
+    return out
 
 
 def places(text: str) -> list[Place]:
-    """All places of a paragraph where a sentence may end, in order; the last is its end."""
+    """All characters of a paragraph that may end a sentence, in order; the last is its end."""
     out = [_punctuated(text, m) for m in PLACE.finditer(text)]
-    if "฀" <= max(text, default=" ") and re.search("[฀-๿]", text):
-        out = sorted(out + [_thai(text, m) for m in THAI_GAP.finditer(text)], key=lambda p: p.end)
+    if max(text, default=" ") >= "฀":
+        if not MARKED.search(text):
+            out = sorted(out + _bare(text), key=lambda p: p.end)
+        else:
+            out = sorted(out + [_thai(text, m) for m in THAI_GAP.finditer(text)], key=lambda p: p.end)
     end = len(text.rstrip())
     out = [p for p in out if p.end < end]
     if end:
@@ -190,7 +212,7 @@ class Tagger:
                 options = [score[q] + self.w.get(f"t{q}{tag}{gap}", 0.0) for q in (0, 1)]
                 q = 1 if options[1] > options[0] else 0
                 s = options[q] + (e if tag else 0.0)
-                if (constrained or p.feats[0] == "end" or "blank" in p.feats) and p.label is not None and p.label != tag:
+                if (constrained or p is seq[-1]) and p.label is not None and p.label != tag:  # the chain ends in a boundary
                     s = -1e12
                 now.append(s)
                 came.append(q)
@@ -212,7 +234,10 @@ class Tagger:
         for _ in range(rounds):
             rng.shuffle(data)
             for seq in data:
-                gold, got = self.viterbi(seq, True), self.viterbi(seq)
+                gold = [p.label for p in seq]
+                if None in gold:
+                    gold = self.viterbi(seq, True)
+                got = self.viterbi(seq)
                 if gold != got:
                     before, g0, t0 = 0, 0, 0
                     for p, g, t in zip(seq, gold, got):
@@ -232,24 +257,28 @@ class Tagger:
         return self
 
 
-def stripped_thai(line: str, rng: random.Random) -> list[Place]:
-    """A Thai line without its blanks, each of which is a boundary; elsewhere is inside."""
-    gaps, bare = set(), ""
-    for m in re.split(r"(?<=[฀-๿]) (?=[฀-๿])", line):
-        bare += m
-        gaps.add(len(bare))
-    gaps.discard(len(bare))
+def stripped(line: str, rng: random.Random, bare: bool = False) -> list[Place]:
+    """A line without the blanks or terminators between its sentences: where one stood is a boundary, elsewhere is inside.
+
+    Where ``bare`` all characters are laid out and marked as such, else half of those inside, as many line ends are boundaries.
+    """
+    gaps, text = set(), ""
+    for part in MARKED.split(line):
+        text += part
+        gaps.add(len(text))
+    gaps.discard(len(text))
     out = []
-    for i in range(2, len(bare) - 2):
-        if i in gaps or (rng.random() < 0.5 and "฀" <= bare[i] <= "๿" and not ("ั" == bare[i] or "ิ" <= bare[i] <= "ฺ" or "็" <= bare[i] <= "๎")):
-            out.append(Place(i, _thai_feats(bare[max(0, i - 10) : i], bare[i : i + 8]), int(i in gaps)))
+    for m in BARE_RUN.finditer(text):
+        for i in range(m.start() + 2, m.end() - 1):
+            if i in gaps or not TIED.match(text[i]) and (bare or rng.random() < 0.5):
+                out.append(Place(i, _bare_feats(text[max(m.start(), i - 10) : i], text[i : min(m.end(), i + 8)]) + ["bare"] * bare, int(i in gaps)))
     return out
 
 
 #: paragraphs marked by hand, a bar after each sentence; they are part of every training set
 THAI_SEEDS = """เมื่อวานนี้ฝนตกหนักมากในหมู่บ้าน ชาวบ้านต้องขนของขึ้นที่สูง แม่น้ำล้นตลิ่งในตอนกลางคืน ไม่มีใครได้รับบาดเจ็บ
 คณะทำงานตรวจสอบสะพานเก่า ถนนสายนี้ปิดชั่วคราว ครูพานักเรียนไปที่แม่น้ำ รถไฟมาถึงสถานีในตอนเช้า การทดลองครั้งแรกไม่สำเร็จ"""
-SEEDS = """The tower stands near St. Harsk since 1904.| It was built by Dr. A. B. Fesk and Prof. Lind.|
+SEEDS = """The tower stands near St. Ives since 1904.| It was built by Dr. A. B. Hill and Prof. Lund.|
 “Will it rain?” asked the guard.| “No,” said the clerk.| He smiled.|
 The note reads: “The road is closed.”| Nobody knew why.| It was 9 a.m. on most days.|
 We measured 4.5 km at 20.1 K.| Then the wind rose, etc.| The sails tore.|
@@ -259,15 +288,15 @@ Results hold e.g. in sand and i.e. without drift.| See Vol. 4, pp. 11-19.| 3 of
 Why does it stop?| It simply ends!| A broken wheel, approx. 16 percent of all, caused it in Vol. 2, No. 7.| Eq. (12) shows it.|
 Der Zug kam am 15. Mai um ca. 6,7 Uhr an.| Laut Dr. Lang war er z. B. bei Frost zu spät, d. h. ohne Grund.|
 „Wann fährt er?“ fragte das Kind.| Die Mutter schwieg.| Der Plan steht gem. Abschn. 4.4 bzw. nach Nr. 82 in Abb. 2.| Das Ende kam.|
-« Qui vient ? » demande le garde.| Personne ne répond.| Il neige env. 3,2 mm p. ex. en hiver.| Voir l’art. 12 et cf. fig. 4.| La loi, selon l’éd. de mai, le dit d’après M. Jori Pell.| Fin !|
+« Qui vient ? » demande le garde.| Personne ne répond.| Il neige env. 3,2 mm p. ex. en hiver.| Voir l’art. 12 et cf. fig. 4.| La loi, selon l’éd. de mai, le dit d’après M. Jean Petit.| Fin !|
 «¿Quién viene?» preguntó el juez.| Nadie sabe nada.| Está en la pág. 8 según el Dr. Ruiz y la Sra. Paz.| Mide aprox. 29,0 mm p. ej. en verano.| ¿Por qué?| Así es.|
 “Quem vem?” perguntou o juiz.| Ninguém sabe.| Está na pág. 22 segundo o Dr. Neves p. ex. no verão.| Mede aprox. 7,4 mm.|
-«Кто пришёл?» – спросил мастер.| Никто не знает.| Поезд идёт у г. Марвинск т. е. без потерь.| См. гл. 7 и рис. 3.| Вода ок. 8,2 см.| Опыт кончен!|
+«Кто пришёл?» – спросил мастер.| Никто не знает.| Поезд идёт у г. Тверь т. е. без потерь.| См. гл. 7 и рис. 3.| Вода ок. 8,2 см.| Опыт кончен!|
 «Ποιος ήρθε;» ρώτησε η ομάδα.| Κανείς δεν ξέρει.| Βλ. σελ. 44 π.χ. στη βροχή.| Τι ώρα είναι;| Είναι νωρίς.|
 “有人来了吗？”主任问道。|没有人回答。|报告写道：“道路关闭了。”|大家按No. 7记录了3.6米处的数据！|为什么？|
 「雨が降った。」と駅長は述べた。|道は約3.5メートルだった！|図4.2を見る。|古い橋はない。|
-पुल डॉ. रमोला के अनुसार पुराना है।| नदी 2.5 मीटर गहरी है?| लोग खुश हैं।|
-الجسر قديم حسب د. مروان.| الماء نحو 3.5 متر.| هل وصل القطار؟| نعم.|"""
+पुल डॉ. मेहता के अनुसार पुराना है।| नदी 2.5 मीटर गहरी है?| लोग खुश हैं।|
+الجسر قديم حسب د. سامي.| الماء نحو 3.5 متر.| هل وصل القطار؟| نعم.|"""
 
 
 def seeds() -> list[list[Place]]:
@@ -315,9 +344,13 @@ def fit(lines: DataFrame, paragraphs: int = TRAIN_PARAGRAPHS, thai: int = TRAIN_
     for r in picked:
         for par in _paragraphs([(x["line_no"], x["text"], x["page"], x["blank"]) for x in r["rows"]]):
             data.append(places("\n".join(t for _, t in par)))
-    lines_th = text.where(F.col("text").rlike("[\\u0e00-\\u0e7f] [\\u0e00-\\u0e7f]")).select("text").orderBy(F.xxhash64("text"), "text").limit(thai).toArrow().to_pylist()
-    data += [stripped_thai(r["text"], rng) for r in lines_th]
-    data += [stripped_thai(t, rng) for t in THAI_SEEDS.split("\n")]
+    marked = text.where(F.col("text").rlike("[\\u0e00-\\u0e7f] [\\u0e00-\\u0e7f]|[\\u3040-\\u30ff\\u3400-\\u9fff][。！？].*[。！？]")).select("text").withColumn("thai", F.col("text").rlike("[\\u0e00-\\u0e7f]"))
+    for is_thai in (True, False):
+        taken = marked.where(F.col("thai") == is_thai).select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(thai).toArrow()["text"].to_pylist()
+        if is_thai:
+            data += [stripped(t, rng) for t in taken]
+        data += [stripped(t, rng, bare=True) for t in taken[:: BARE_STEP]]
+    data += [stripped(t, rng, bare) for t in THAI_SEEDS.split("\n") for bare in (False, True)]
     return Tagger().fit(seeds() * 8 + [d for d in data if d])
 
 
