@@ -25,8 +25,8 @@ SPREAD = 0.5
 #: share of the content that must be stuffed; a stub has fewer terms than this and also fewer characters of content (a link is one term, however long)
 SHARE, LEAST_TERMS, LEAST_CHARS = 0.5, 30, 150
 
-BIBITEM = re.compile(r"\\bibitem(?:\[[^\]]{0,80}\])?\{[^}]{0,80}\}(?:(?!\\bibitem|\\end\{|\n\s*\n).){0,600}", re.S)
-MATH = re.compile(r"\\begin\{(equation|align|gather|multline|eqnarray|displaymath|math)\*?\}.*?\\end\{\1\*?\}|\$\$.*?\$\$|(?<!\\)\$[^$\n]{0,400}\$|\\\[.*?\\\]", re.S)
+BIBITEM = re.compile(r"\\bibitem(?:\[[^\]\n]*\])?\{[^}\n]*\}(?:(?!\\bibitem|\\end\{|\n\s*\n).)*", re.S)
+MATH = re.compile(r"\\begin\{(equation|align|gather|multline|eqnarray|displaymath|math)\*?\}.*?\\end\{\1\*?\}|\$\$.*?\$\$|(?<!\\)\$[^$\n]*\$|\\\[.*?\\\]", re.S)
 DEFINED = re.compile(r"\\(?:(?:re|provide)?(?:new|provide)command\*?|newenvironment|DeclareMathOperator|def)\*?\s*\{?\\?\w+\}?(?:\[\d\])?(?:\s*\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}){1,2}")
 SETUP = re.compile(r"\\(?:documentclass|usepackage|input|include|includegraphics|bibliographystyle|bibliography|cite\w*|ref|eqref|label|begin|end|color|hspace|vspace|setlength)\*?(?:\[[^\]]*\]|\{[^{}]*\})*")
 URL = re.compile(r"(?:https?|ftp)://[^\s{}\\|<>\"]+|www\.[^\s{}\\|<>\"]+")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoint import checkpointed
@@ -47,55 +47,40 @@ def texts_by_source(documents: DataFrame, sources: list[str], vocabulary: str |
     return one.select(F.col("m.source").alias("source"), F.col("m.doc_id").alias("doc_id"), F.shiftrightunsigned(F.xxhash64("key", F.lit(29)), 1).alias("u"), F.col("m.n_tokens").alias("n_tokens"))
 
 
-def _histogram(rows: DataFrame, level: int, prefix: dict[str, int] | None) -> dict[str, dict[int, int]]:
-    """Tokens by source and bucket; below the first level only inside the boundary buckets.
+def _boundaries(rows: DataFrame, level: int, left: dict[str, int], prefix: dict[str, int]) -> dict[str, tuple[int, int]]:
+    """The bucket of each source in which ``left`` tokens are used up, and the tokens in the buckets before it.
 
-    At most sources times 2**LEVEL_BITS rows reach the driver.
+    Below the first level only the texts of the boundary buckets (``prefix``) are summed. The histogram of a source has
+    2**LEVEL_BITS buckets at most; one row a source reaches the driver.
     """
-    shift = 63 - LEVEL_BITS * (level + 1)
-    if prefix is not None:
-        if not prefix:
-            return {}
-        where = F.lit(False)
-        for s, p in prefix.items():
-            where = where | ((F.col("source") == s) & (F.shiftright("u", shift + LEVEL_BITS) == p))
-        rows = rows.where(where)
-    got = rows.groupBy("source", F.shiftright("u", shift).alias("b")).agg(F.sum("n_tokens").alias("n")).collect()
-    out: dict[str, dict[int, int]] = {}
-    for r in got:
-        out.setdefault(r["source"], {})[r["b"]] = int(r["n"])
-    return out
+    if not left:
+        return {}
+    spark, shift = rows.sparkSession, 63 - LEVEL_BITS * (level + 1)
+    wanted = spark.createDataFrame([(s, n, prefix.get(s, 0)) for s, n in left.items()], "source string, left bigint, prefix bigint")
+    inside = rows.join(F.broadcast(wanted), "source").where(F.shiftright("u", shift + LEVEL_BITS) == F.col("prefix"))
+    sums = inside.groupBy("source", "left", F.shiftright("u", shift).alias("b")).agg(F.sum("n_tokens").alias("n"))
+    run = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("b")))
+    got = run.where("upto > left").groupBy("source").agg(F.min(F.struct("b", (F.col("upto") - F.col("n")).alias("before"))).alias("m")).collect()
+    return {r["source"]: (r["m"]["b"], r["m"]["before"]) for r in got}
 
 
 def plan(rows: DataFrame, targets: list[tuple[str, float, int]], total_tokens: int | None = None) -> list[Plan]:
     """Budgets and thresholds. Without ``total_tokens``, the largest total at which every source
     that has texts keeps its share within its repeats; sources without texts get nothing."""
-    first = _histogram(rows, 0, None)
-    have = {s: sum(h.values()) for s, h in first.items()}
+    have = {r["source"]: int(r["n"]) for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     present = [(s, w, r) for s, w, r in targets if have.get(s, 0) > 0 and w > 0 and r > 0]
     total = total_tokens if total_tokens is not None else min((int(r * have[s] / w) for s, w, r in present), default=0)
-    whole, left, budget, below, prefix = {}, {}, {}, {}, {}
-    for s, w, r in present:
-        budget[s] = min(int(w * total), r * have[s])
-        whole[s] = budget[s] // have[s]
-        left[s] = budget[s] - whole[s] * have[s]
-        below[s] = 0
-    levels = first
+    budget = {s: min(int(w * total), r * have[s]) for s, w, r in present}
+    whole = {s: budget[s] // have[s] for s in budget}
+    left = {s: n for s in budget if (n := budget[s] - whole[s] * have[s]) > 0}
+    below, prefix = dict.fromkeys(budget, 0), {}
     for level in range(LEVELS):
-        prefix = {}
-        for s in left:
-            if left[s] <= 0 or level and s not in levels:
-                continue
-            for b in sorted(levels.get(s, {})):
-                n = levels[s][b]
-                if n > left[s]:
-                    prefix[s] = b
-                    break
-                left[s] -= n
-            if s in prefix:
-                below[s] = prefix[s] << (63 - LEVEL_BITS * (level + 1))
-        if level + 1 < LEVELS:
-            levels = _histogram(rows, level + 1, prefix)
+        found = _boundaries(rows, level, left, prefix)
+        prefix = {s: b for s, (b, _) in found.items()}
+        left = {s: left[s] - n for s, (_, n) in found.items()}
+        for s, b in prefix.items():
+            below[s] = b << (63 - LEVEL_BITS * (level + 1))
+        left = {s: n for s, n in left.items() if n > 0}
     return [Plan(s, w, r, have.get(s, 0), budget.get(s, 0), whole.get(s, 0), below.get(s, 0)) for s, w, r in targets]
 
 
@@ -112,10 +97,9 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     texts = checkpointed(texts_by_source(documents, [s for s, _, _ in wanted], vocabulary))
     plans = plan(texts, wanted, total_tokens)
     spark = documents.sparkSession
-    repeats = F.lit(0)
-    for p in plans:
-        repeats = F.when(F.col("source") == p.source, F.lit(p.whole) + (F.col("u") < F.lit(p.threshold)).cast("int")).otherwise(repeats)
-    taken = texts.withColumn("repeats", repeats.cast("int")).where("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
+    taking = spark.createDataFrame([(p.source, p.whole, p.threshold) for p in plans], "source string, whole int, threshold bigint")  # at most MOST_SOURCES rows
+    repeats = (F.col("whole") + (F.col("u") < F.col("threshold")).cast("int")).alias("repeats")
+    taken = texts.join(F.broadcast(taking), "source").select("doc_id", "source", "n_tokens", repeats).where("repeats > 0")
     fixed = spark.createDataFrame([(p.source, p.target_share, p.max_repeats, p.available, p.budget) for p in plans], "source string, target_share double, max_repeats int, available_tokens bigint, budget_tokens bigint")
     sums = taken.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("t"), F.count("*").alias("texts"), F.max("repeats").alias("most_repeats"))
     all_tokens = taken.agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("all"))

@@ -28,8 +28,8 @@ MAX_DOCS, ATTENTION, WEIGHTS = 4096, 1.0, (1.0, 0.02, 0.10)
 def best_fit(sizes: np.ndarray, capacity: int, max_docs: int = MAX_DOCS, attention: float = ATTENTION, weights: tuple[float, float, float] = WEIGHTS) -> np.ndarray:
     """The container of each item; items of equal size keep their order.
 
-    ``sizes`` must be at most ``capacity``. An item too costly for a container that holds others
-    still gets one of its own.
+    ``sizes`` must be at most ``capacity``. An item whose own cost is above the attention capacity gets a
+    container of its own, to which nothing is added; every other container keeps all three capacities.
     """
     order = np.argsort(-sizes, kind="stable")
     out = np.empty(len(sizes), np.int64)
@@ -62,7 +62,7 @@ def best_fit(sizes: np.ndarray, capacity: int, max_docs: int = MAX_DOCS, attenti
                 number = np.concatenate([number, np.zeros(room, np.int64)])
                 room *= 2
             k, top = top, top + 1
-            res[:, k] = 1.0
+            res[:, k] = 1.0 if d2 <= 1.0 + 1e-9 else (d0, d1, d2)
             number[k] = made
             made += 1
         res[0, k] -= d0
@@ -87,31 +87,35 @@ def containers(documents: DataFrame, bins: DataFrame, vocabulary: str | None = N
     if len(rows) > MOST_PROFILES:
         raise ValueError(f"more than {MOST_PROFILES} profiles")
     capacity = {r[0]: int(r[1]) for r in rows}
-    sized = with_tokens(documents, F.col("text"), ["doc_id"], vocabulary)
     groups = max(1, -(-documents.count() // group_items))  # from the files' footers
+    # rows without a doc_id have nothing of their own to be spread by but their place
+    spread = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.col("doc_id"))
+    placed = documents.select("doc_id", "text", F.pmod(F.xxhash64(spread, F.lit(17)), F.lit(groups)).alias("grp"))
+    sized = with_tokens(placed, F.col("text"), ["doc_id", "grp"], vocabulary)
     profiles = F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(c).cast("bigint").alias("cap")) for p, c in sorted(capacity.items())]) if capacity else F.array().cast("array<struct<profile:string,cap:bigint>>")
     # one row a text and profile: what is left after its full parts, with their number
-    each = sized.select("doc_id", "n_tokens", F.inline(profiles))
+    each = sized.select("doc_id", "grp", "n_tokens", F.inline(profiles))
     each = each.withColumn("full", F.when(F.col("n_tokens") > F.col("cap"), F.floor(F.col("n_tokens") / F.col("cap"))).otherwise(F.lit(0)).cast("bigint"))
-    each = each.withColumn("rest", F.col("n_tokens") - F.col("full") * F.col("cap")).withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(groups)))
+    each = each.withColumn("rest", F.col("n_tokens") - F.col("full") * F.col("cap"))
 
     def run(key, table):
         profile, grp = key[0].as_py(), key[1].as_py()
         cap = capacity[profile]
         table = table.sort_by([("doc_id", "ascending"), ("n_tokens", "ascending")])
-        doc, full, rest, n = (table[c].to_numpy() for c in ("doc_id", "full", "rest", "n_tokens"))
+        doc = table["doc_id"].combine_chunks()
+        full, rest, n = (table[c].to_numpy() for c in ("full", "rest", "n_tokens"))
         some = np.flatnonzero(rest > 0)
         place = best_fit(rest[some], cap, max_docs, attention)
         names = [f"{profile}-{grp}-{b}" for b in place.tolist()]
         none = np.flatnonzero(n == 0)
-        big = np.repeat(np.arange(len(doc)), full)
+        big = np.repeat(np.arange(len(n)), full)
         part = np.arange(len(big)) - np.repeat(np.cumsum(full) - full, full)
         at = np.concatenate([some, big, none])
         labels = names + [f"{profile}-{grp}-f{i}" for i in range(len(big))] + [None] * len(none)
         piece = np.concatenate([full[some], part, np.zeros(len(none), np.int64)])
         size = np.concatenate([rest[some], np.full(len(big), cap, np.int64), np.zeros(len(none), np.int64)])
         return pa.table({
-            "profile": pa.array([profile] * len(at), pa.string()), "container": pa.array(labels, pa.string()), "doc_id": pa.array(doc[at], pa.int64()),
+            "profile": pa.array([profile] * len(at), pa.string()), "container": pa.array(labels, pa.string()), "doc_id": doc.take(pa.array(at)).cast(pa.int64()),
             "piece_no": pa.array(piece.astype(np.int32)), "token_start": pa.array(piece.astype(np.int64) * cap), "n_tokens": pa.array(size.astype(np.int64)),
         })
 
@@ -119,8 +123,17 @@ def containers(documents: DataFrame, bins: DataFrame, vocabulary: str | None = N
 
 
 def fill(assigned: DataFrame, bins: DataFrame) -> DataFrame:
-    """For each profile: containers, tokens, fewest containers that could hold them, share filled."""
-    n = assigned.where("container is not null").groupBy("profile").agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
+    """For each profile: containers, tokens, fewest containers that could hold them, and the shares of the capacities used.
+
+    filled (of all tokens there is room for), documents (most parts in one container) and attention (most squared
+    sizes in one container of several parts, as a share of capacity squared).
+    """
+    size = F.col("n_tokens").cast("double")
+    each = assigned.where("container is not null").groupBy("profile", "container").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("d"), F.sum(size * size).alias("c"))
+    n = each.groupBy("profile").agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.max("d").alias("documents"), F.max(F.when(F.col("d") > 1, F.col("c"))).alias("cost"))
     out = bins.select("profile", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens")).distinct().join(n, "profile")
     fewest = F.ceil(F.col("tokens") / F.col("capacity_tokens"))
-    return out.select("profile", "capacity_tokens", "containers", "tokens", fewest.alias("fewest"), (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"))
+    return out.select(
+        "profile", "capacity_tokens", "containers", "tokens", fewest.alias("fewest"), (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"),
+        "documents", (F.col("cost") / (F.col("capacity_tokens").cast("double") * F.col("capacity_tokens"))).alias("attention"),
+    )

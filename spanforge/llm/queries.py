@@ -71,6 +71,15 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p6_assigned(spark, sf_dir), _t(spark, sf_dir, "pack_bins"))
 
 
+def p6_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of at most four parts and three quarters of the greatest attention cost, which bind beside the tokens."""
+    return packing.containers(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "pack_bins"), max_docs=4, attention=0.75)
+
+
+def p6_bounded_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p6_bounded(spark, sf_dir), _t(spark, sf_dir, "pack_bins"))
+
+
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_targets"))[0]
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from spanforge.llm import chunking, consistent_form, encoding_repair, keyword_spam, mixing, packing, quality, sentences
 from spanforge.llm.charmodel import BI, TRI, UNI, WORD, CharModel
-from spanforge.llm.lines import line_texts, with_blocks
+from spanforge.llm import lines as block_lines
+from spanforge.llm.lines import blocks, in_blocks, line_texts, measures
 from spanforge.llm.lookalikes import compatibility
 from spanforge.llm.quality_holdout import HOLDOUT
 from spanforge.llm.tokens import encoder, with_tokens
@@ -72,6 +73,32 @@ def test_damage_beside_and_in_private_use(spark, corpus):
     assert got == bad
 
 
+def test_verdicts_meet_rows_in_a_shuffle_too(spark, corpus, monkeypatch):
+    judge = encoding_repair.fit(corpus)
+    bad = "précise le déphasage".encode().decode("latin-1")
+    df = spark.createDataFrame([("t", 1, k, bad if k % 3 else "La théorie", None, None, None) for k in range(60)], SPAN)
+    few = sorted(encoding_repair.repair_spans(df, judge).collect())
+    monkeypatch.setattr(encoding_repair, "BROADCAST_CHARS", -1)
+    assert sorted(encoding_repair.repair_spans(df, judge).collect()) == few and len(few) == 40
+    rows = df.select("span_seq", "text")
+    seen = encoding_repair.with_verdicts(rows, "text", encoding_repair.damaged_tokens(df, judge), "left").groupBy("span_seq").agg(F.max("hit").alias("hit")).collect()
+    assert {r.span_seq for r in seen if r.hit} == {k for k in range(60) if k % 3} and len(seen) == 60
+
+
+def test_different_values_under_one_key(spark, corpus):
+    judge = encoding_repair.fit(corpus)
+    a, b = ("précise le déphasage".encode().decode(c) for c in ("latin-1", "cp1252"))
+    df = spark.createDataFrame([("t", None, 1, a, None, None, None), ("t", None, 1, b, None, None, None), (None, 1, None, a, None, None, None)], SPAN)
+    got = encoding_repair.repair_spans(df, judge).collect()
+    assert len(got) == 2 and {r.value for r in got} == {min(a, b), a}
+
+
+def test_counts_of_tokens(spark):
+    df = spark.createDataFrame([("t", 1, 0, "a é é\xa0b", "ABCDEF+Né Sans", None, None), ("t", 1, 1, "é x\ufffd", "Né", None, None), ("t", 1, 2, None, None, None, None)], SPAN)
+    got = {r.token: (r.clean, r.times, r.fonts) for r in encoding_repair.token_counts(df).collect()}
+    assert got == {"a": (1, 0, 0), "é": (1, 2, 0), "é\xa0b": (1, 1, 0), "x\ufffd": (0, 1, 0), "Né": (0, 2, 2), "Sans": (0, 0, 1)}
+
+
 def test_repair_of_an_empty_table(spark, corpus):
     assert encoding_repair.repair_spans(corpus.limit(0)).count() == 0
 
@@ -90,7 +117,7 @@ def test_held_out_accuracy_of_repair(spark, corpus):
 
 @pytest.mark.parametrize("text,want", [
     ("Ｆｕｌｌ ｗｉｄｔｈ １２", "Full width 12"), ("ﬁnd the oﬃce", "find the office"), ("re\u0301seau", "réseau"), ("か\u3099", "が"), ("soft\u00adhy\u200bphen\ufeff", "softhyphen"), ("no\u00a0break\u2007blank", "no break blank"),
-    ("Nеvа", "Neva"), ("Oпыт", "Опыт"), ("cοnditiοn", "condition"), ("τηv εκτίμηση", "την εκτίμηση"), ("sensօr ɑrchive", "sensor archive"), ("well‑known", "well-known"), ("５Å", "5Å"), ("Ⅳ ㎏", "IV kg"), ("ﻻ", "لا"), ("ｾﾝｻｰ", "センサー"), ("セン一サー", "センーサー"),
+    ("Nеvа", "Neva"), ("Oпыт", "Опыт"), ("cοnditiοn", "condition"), ("τηv εκτίμηση", "την εκτίμηση"), ("sensօr ɑrchive", "sensor archive"), ("well‑known", "well-known"), ("５Å", "5Å"), ("Ⅳ ㎏", "IV kg"), ("ﻻ", "لا"), ("ｾﾝｻｰ", "センサー"), ("セン一サー", "センーサー"), ("\u0958 cafe\u0301", "\u0915\u093c café"), ("sensօr հօս", "sensor hou"),
 ])
 def test_one_form(spark, text, want):
     df = spark.createDataFrame([("d", 1, 0, text, None, None, None)], SPAN)
@@ -98,7 +125,7 @@ def test_one_form(spark, text, want):
     assert (r.normalized, r.changed) == (want, True)
 
 
-@pytest.mark.parametrize("text", ["plain", "", None, "Река и мост", "10 Ω and β-phase", "μm", "CO₂ on 31 m² ½", "“quoted” – ‘x’ • y", "了先前的估计，港口！", "डॉ. ड़ क्‍ष", "v2.7版", "XRD по данным", "ของน้ำ", "a) Граница слоя", "■ □", "x" * 300_000])
+@pytest.mark.parametrize("text", ["plain", "", None, "Река и мост", "10 Ω and β-phase", "μm", "CO₂ on 31 m² ½", "“quoted” – ‘x’ • y", "了先前的估计，港口！", "डॉ. ड़ क्‍ष", "\u0958\u095f", "հօս", "քաղաք հօս in", "v2.7版", "XRD по данным", "ของน้ำ", "a) Граница слоя", "■ □", "x" * 300_000])
 def test_ordinary_text_stays(spark, text):
     df = spark.createDataFrame([("d", 1, 0, text, None, None, None)], SPAN)
     r = consistent_form.consistent_form(df.withColumn("normalized", F.lit("clash"))).first()
@@ -115,6 +142,15 @@ def test_form_of_empty_table_and_repeats(spark):
     assert consistent_form.consistent_form(df).where("changed").count() == 3 and consistent_form.consistent_form(df.limit(0)).count() == 0
 
 
+def test_only_texts_that_can_change_leave_the_jvm(spark):
+    rng = random.Random(2)
+    signs = "aé Ωж一ーセ力ณเ\u0e4d\u0e32\u0301\u200b\u200d\u0958\uff21\uff01。ﬁսо\u2011 ²’"
+    df = spark.createDataFrame([("d", 1, i, "".join(rng.choice(signs) for _ in range(rng.randrange(1, 5))), None, None, None) for i in range(3000)], SPAN)
+    all_of_it = consistent_form._in_duckdb(consistent_form._columns(df))
+    assert sorted(all_of_it.where("changed").collect()) == sorted(consistent_form.changed_spans(df).collect())
+    assert sorted(all_of_it.collect()) == sorted(consistent_form.consistent_form(df).collect())
+
+
 # problem 2
 
 
@@ -131,6 +167,21 @@ def test_quality_of_checked_documents(spark, data):
     assert quality.document_quality(df.limit(0)).count() == 0
 
 
+def test_index_lines_are_entries():
+    model = CharModel(*(np.ones(n, np.float32) for n in (UNI, BI, TRI, WORD)))
+    at = {n: i for i, n in enumerate(quality.SUMS)}
+    index, cells, long, short = quality.line_sums(["Canal, 18, 79, 101-128", "Harsk 18 79 101", "1. " + "word " * 100, "1. word"], model)
+    assert index[at["marker"]] == 1 and index[at["c_table"]] == 0 and index[at["c_marker"]] == 22
+    assert cells[at["c_table"]] == 15 and cells[at["marker"]] == 0 and 0 < long[at["marker"]] < 0.5 < short[at["marker"]]
+
+
+def test_mending_by_verdicts_or_by_the_judge(spark, corpus):
+    judge = encoding_repair.fit(corpus)
+    bad = "La " + "précise".encode().decode("latin-1") + " ﬁn"
+    fixes = {r.token: r.fixed for r in encoding_repair.damaged_tokens(spark.createDataFrame([(bad,)], "text string"), judge).collect()}
+    assert quality.Mender(fixes, judge).mend([bad, "plain"]) == quality.Mender(None, judge).mend([bad, "plain"]) == ["La précise fin", "plain"]
+
+
 def test_long_words_are_scored_whole():
     model = CharModel(*(np.ones(n, np.float32) for n in (UNI, BI, TRI, WORD)))
     model.uni[:] = 0
@@ -168,7 +219,7 @@ def tagger(data):
         docs.setdefault(doc, []).append((no, " ".join(s["text"] or "" for s in sp), sp[0]["page_num"] if sp else None, not sp))
     got = [sentences.places("\n".join(t for _, t in par)) for d in docs.values() for par in sentences._paragraphs(d)]
     rng = random.Random(1)
-    thai = [sentences.stripped_thai(t, rng) for d in docs.values() for _, t, _, _ in d if any("฀" <= c <= "๿" for c in t)]
+    thai = [sentences.stripped(t, rng, bare) for d in docs.values() for _, t, _, _ in d if any("฀" <= c <= "๿" for c in t) for bare in (False, True)]
     return sentences.Tagger().fit(sentences.seeds() * 8 + [g for g in got + thai if g])
 
 
@@ -198,6 +249,21 @@ def test_thai_blanks_and_stripped_breaks(tagger):
     assert sentences.ends(rows, tagger) == [(1, 13)]
 
 
+def test_unpunctuated_runs_are_tagged_by_character(tagger):
+    seq = sentences.places("แม่น้ำลดความเร็วของน้ำการวัดนี้ลดระดับเฉลี่ย")
+    assert len(seq) > 20 and sum("bare" in p.feats for p in seq) == len(seq) - 1
+    assert ends_of("แม่น้ำลดความเร็วของน้ำการวัดนี้ลดระดับเฉลี่ย", tagger) == ["แม่น้ำลดความเร็วของน้ำ", "การวัดนี้ลดระดับเฉลี่ย"]
+    assert not any("bare" in p.feats for p in sentences.places("報告。報告"))
+
+
+def test_seeds_name_nothing_of_the_tables(data):
+    import duckdb
+
+    text = " ".join(r[0] for r in duckdb.sql(f"SELECT DISTINCT text FROM '{data.replace('sf0.001', 'sf0.01')}/text_spans.parquet' WHERE text IS NOT NULL").fetchall())
+    for name in ("Hill", "Lund", "Ives", "Petit", "Тверь", "मेहता", "سامي"):
+        assert name in sentences.SEEDS and f" {name}" not in text
+
+
 def test_page_change_ends_nothing_and_blank_does(spark, tagger):
     got = sentence_list(spark, [("One sentence goes", 1), None, ("on here.", 2), None, ("Head", 2), None, ("Tail", 2)], tagger)
     assert got == ["One sentence goes\n\non here.", "Head", "Tail"]
@@ -211,12 +277,33 @@ def test_sentences_of_odd_documents(spark, tagger):
     assert sentences.sentence_ends(df, df.select("doc").where("doc = 'c'"), tagger).count() == 3
 
 
-def test_blocks_never_cut_inside_a_paragraph(spark):
-    docs = {"d": [(None if i % 7 == 6 else f"l{i}", 1 + i // 50) for i in range(400)]}
-    b = with_blocks(line_texts(lines(spark, docs)), at_pages=False, size=32)
-    rows = sorted((r.line_no, r.block) for r in b.collect())
-    assert len(rows) == 400 and len({k for _, k in rows}) > 8
-    assert all(a[1] == c[1] or docs["d"][c[0]][0] is None for a, c in zip(rows, rows[1:]))
+@pytest.mark.parametrize("most", [1000, -1])
+def test_blocks_never_cut_inside_a_paragraph(spark, most, monkeypatch):
+    monkeypatch.setattr(block_lines, "MOST_BROADCAST", most)
+    docs = {"d": [(None if i % 7 == 6 else f"l{i}", 1 + i // 50) for i in range(400)], "e": [f"m{i}" for i in range(90)], "f": [None]}
+    df = line_texts(lines(spark, docs))
+    table = blocks(measures(df.union(df.limit(30)), 32), at_pages=False, size=32)
+    rows = sorted({(r.doc, r.line_no, r.block) for r in in_blocks(df, table, 32).collect()})
+    assert len(rows) == 491 and len({(d, k) for d, _, k in rows}) > 10
+    assert all(a[2] == c[2] or a[0] != c[0] or docs[a[0]][c[1]][0] is None for a, c in zip(rows, rows[1:]))
+    total = {r.doc: r.total for r in table.collect()}
+    assert total == {d: sum(len((t[0] if isinstance(t, tuple) else t) or "") + 1 for t in ls) for d, ls in docs.items()}
+
+
+@pytest.mark.parametrize("context", [0, 5, 60, 4000])
+def test_blocks_bring_what_leads_to_them(spark, context):
+    rng = random.Random(context)
+    docs = {f"d{k}": [rng.choice((None, "", "x" * rng.randrange(1, 30))) for _ in range(n)] for k, n in enumerate((1, 40, 300))}
+    df = line_texts(lines(spark, docs))
+    got: dict = {}
+    for r in in_blocks(df, blocks(measures(df, 32), at_pages=True, context=context, size=32), 32).collect():
+        got.setdefault((r.doc, r.block), []).append((r.line_no, r.text, r.first, r.start_char))
+    for (d, _), rows in got.items():
+        first, start = rows[0][2], rows[0][3]
+        past = "".join((t or "") + "\n" for t in docs[d][:first])
+        lead = "".join(t + "\n" for no, t, _, _ in sorted(rows) if no < first)
+        assert len(past) == start and past.endswith(lead) and len(lead) >= min(context, len(past))
+    assert sorted((d, no) for (d, _), rows in got.items() for no, _, first, _ in rows if no >= first) == sorted((d, i) for d, ls in docs.items() for i in range(len(ls)))
 
 
 # problem 5
@@ -241,14 +328,25 @@ def test_pieces_rebuild_the_text(spark, seed):
     want = {(p, d) for p, m in (("a", 300), ("b", 2000), ("d", 1000)) for d, t in text.items() if len(t) > m}
     assert {(r.profile, r.doc) for r in got} == want
     for p, d in want:
-        ps = sorted((r for r in got if (r.profile, r.doc) == (p, d)), key=lambda r: r.piece_no)
+        ps = sorted((r for r in got if (r.profile, r.doc) == (p, d)), key=lambda r: r.start_char)
         most, over = {"a": (300, 40), "b": (2000, 0), "d": (1000, 0)}[p]
         assert "".join(r.text[r.overlap :] for r in ps) == text[d] and max(len(r.text) for r in ps) <= most
-        assert [r.piece_no for r in ps] == list(range(len(ps))) and all(a.text.endswith(b.text[: b.overlap]) and b.overlap <= over for a, b in zip(ps, ps[1:]))
-        assert all(a.end_char == b.start_char for a, b in zip(ps, ps[1:]))
+        assert all(text[d][: b.start_char].endswith(b.text[: b.overlap]) and min(over, b.start_char) // 2 <= b.overlap <= over for b in ps)
+        assert ps[0].start_char == 0 and all(a.end_char == b.start_char for a, b in zip(ps, ps[1:])) and ps[-1].end_char == len(text[d])
     assert chunking.pieces(df.limit(0), limits).count() == 0 and chunking.pieces(df, limits.limit(0)).count() == 0
 
 
+def test_siblings_are_merged_and_only_large_nodes_opened():
+    lines_of = [("x" * 9, 1, False)] * 3 + [("", 1, True)] + [("y" * 9, 1, False)] * 2 + [("", None, True)] + [("z" * 9, 2, False)] * 9
+    text, root = chunking.tree(lines_of)
+    assert [text[a:b].count("\n") for a, b in chunking.pack(text, root, 62)] == [7, 6, 3]  # page 1 whole, page 2 opened
+    assert [text[a:b].count("\n") for a, b in chunking.pack(text, root, 40)] == [4, 3, 4, 4, 1]  # paragraphs stay whole
+    assert chunking.pack(text, root, 1000) == [(0, len(text))]
+    long = "one two three. four five six seven. " + "w" * 50
+    text, root = chunking.tree([(long, 1, False)])
+    assert [text[a:b] for a, b in chunking.pack(text, root, 25)] == ["one two three. ", "four five six seven. ", "w" * 25, "w" * 25, "\n"]
+
+
 # problems 6 and 7
 
 DOC = "doc_id bigint, text string, source string, n_tokens int"
@@ -265,12 +363,14 @@ def test_best_fit_keeps_every_constraint():
     place = packing.best_fit(sizes, 100, attention=0.5)
     costs = np.bincount(place, sizes.astype(float) ** 2)
     assert all(c <= 5000 or n == 1 for c, n in zip(costs, np.bincount(place)))
+    place = packing.best_fit(np.array([90, 5, 5, 5]), 100, attention=0.5)  # too costly in itself: alone
+    assert np.bincount(place)[place[0]] == 1 and len(set(place[1:])) == 1
     assert len(packing.best_fit(np.zeros(0, np.int64), 10)) == 0
 
 
 def test_every_token_has_one_container(spark):
     rng = random.Random(4)
-    rows = [(i, " ".join(rng.choice(EN.split()) for _ in range(rng.choice((1, 5, 40, 300)))), None, 7) for i in range(300)] + [(900, None, None, 1), (901, "", None, 1), (902, "word " * 5000, None, 1), (5, "again", None, 1)]
+    rows = [(i, " ".join(rng.choice(EN.split()) for _ in range(rng.choice((1, 5, 40, 300)))), None, 7) for i in range(300)] + [(900, None, None, 1), (901, "", None, 1), (902, "word " * 5000, None, 1), (5, "again", None, 1)] + [(None, "no number", None, 1)] * 40
     df = spark.createDataFrame(rows, DOC)
     bins = spark.createDataFrame([("s", 64), ("l", 512), ("x", None)], "profile string, capacity_tokens int")
     got = packing.containers(df, bins, group_items=64).collect()
@@ -311,6 +411,14 @@ def test_mixture_reaches_its_shares(spark):
     t = taken.collect()
     assert len({r.doc_id for r in t}) == len(t) and sum(r.n_tokens * r.repeats for r in t) == sum(r.taken_tokens for r in s.values())
     assert not {r.doc_id for r in t} & {10_000 + i for i in range(50) if (rows[i][2] or "").strip().lower() in ("web", "book", "note")}
+    texts = mixing.texts_by_source(df, ["web", "book", "note"]).collect()
+    for p in mixing.plan(mixing.texts_by_source(df, ["web", "book", "note"]), [("web", 0.5, 1), ("book", 0.3, 2)], 3000):  # the threshold, found by sorting
+        mine, at = sorted((r.u, r.n_tokens) for r in texts if r.source == p.source), 0
+        for u, n in mine:
+            if at + n > p.budget - p.whole * p.available:
+                break
+            at += n
+        assert p.threshold <= u and sum(n for v, n in mine if v < p.threshold) == at
     small, _ = mixing.mixture(df, targets, total_tokens=2000)
     large, _ = mixing.mixture(df, targets, total_tokens=6000)
     assert {r.doc_id for r in small.collect()} <= {r.doc_id for r in large.collect()}
