@@ -285,7 +285,7 @@ def document_quality(text_lines: DataFrame) -> DataFrame:
     statistics 0 and is junk with probability 1: there is nothing a reader could read.
     """
     # a document, or a block of a long one, stays together, so that few partial sums leave a task
-    lines = line_texts(text_lines).repartition("doc", F.floor(F.col("line_no") / BLOCK)).distinct()
+    lines = line_texts(text_lines).withColumn("bucket", F.floor(F.col("line_no") / BLOCK)).repartition("doc", "bucket").distinct()
     raw = text_lines.select(F.explode("spans").alias("s")).select(F.col("s.text").alias("text"))
     fitted = encoding_repair.fit_counts(encoding_repair.token_counts(raw))
     judge = fitted.judge
