@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
 from functools import lru_cache
 
 from .glyph_names import ASCII_NAMES, OTHER_NAMES, glyph_names, zapf_codes
@@ -35,7 +34,7 @@ HIGH_WIDTHS = {
     "Times-Roman": _N("333 500 500 167 500 500 500 500 180 444 500 333 333 556 556 500 500 500 250 453 350 333 444 444 500 1000 1000 444 333 333 333 333 333 333 333 333 333 333 333 333 333 1000 889 276 611 722 889 310 667 278 278 500 722 500"),
     "Times-Bold": _N("333 500 500 167 500 500 500 500 278 500 500 333 333 556 556 500 500 500 250 540 350 333 500 500 500 1000 1000 500 333 333 333 333 333 333 333 333 333 333 333 333 333 1000 1000 300 667 778 1000 330 722 278 278 500 722 556"),
     "Times-Italic": _N("389 500 500 167 500 500 500 500 214 556 500 333 333 500 500 500 500 500 250 523 350 333 556 556 500 889 1000 500 333 333 333 333 333 333 333 333 333 333 333 333 333 889 889 276 556 722 944 310 667 278 278 500 667 500"),
-    "Times-BoldItalic": _N("389 500 500 167 500 500 500 500 278 500 500 333 333 500 500 500 500 500 250 500 350 333 500 500 500 1000 1000 500 333 333 333 333 333 333 333 333 333 333 333 333 333 1000 944 266 611 722 944 300 722 278 278 500 722 500"),
+    "Times-BoldItalic": _N("389 500 500 167 500 500 500 500 278 500 500 333 333 556 556 500 500 500 250 500 350 333 500 500 500 1000 1000 500 333 333 333 333 333 333 333 333 333 333 333 333 333 1000 944 266 611 722 944 300 722 278 278 500 722 500"),
 }
 # Glyphs outside the standard encoding that are not as wide as a base letter.
 LOOSE_NAMES = "divide commaaccent copyright lozenge Thorn dcaron threesuperior multiply partialdiff plusminus brokenbar registered summation greaterequal Eth tcaron Delta thorn twosuperior mu threequarters lcaron trademark onehalf lessequal onequarter degree radical minus logicalnot notequal eth onesuperior Euro Dcroat dcroat".split()
@@ -47,6 +46,7 @@ LOOSE_WIDTHS = {
     "Times-Italic": _N("675 250 760 471 611 544 300 675 476 675 275 760 600 549 722 300 612 500 300 500 750 300 980 750 549 750 400 453 675 675 549 500 300 500 722 500"),
     "Times-BoldItalic": _N("570 250 747 494 611 608 300 570 494 570 220 747 600 549 722 366 612 500 300 576 750 382 1000 750 549 750 400 549 606 606 549 500 300 500 722 500"),
 }
+# Code, width and name of the glyphs of the symbol font.
 SYMBOL = (
     "32:250:space 33:333:exclam 34:713:universal 35:500:numbersign 36:549:existential 37:833:percent 38:778:ampersand 39:439:suchthat 40:333:parenleft 41:333:parenright 42:500:asteriskmath 43:549:plus 44:250:comma 45:549:minus 46:250:period 47:278:slash "
     "48:500:zero 49:500:one 50:500:two 51:500:three 52:500:four 53:500:five 54:500:six 55:500:seven 56:500:eight 57:500:nine 58:278:colon 59:278:semicolon 60:549:less 61:549:equal 62:549:greater 63:444:question 64:549:congruent 65:722:Alpha 66:667:Beta "
@@ -77,8 +77,12 @@ FAMILY = {
 }
 COURIER = ("Courier", "Courier-Bold", "Courier-Oblique", "Courier-BoldOblique")
 CORE_FONTS = (*FAMILY, *COURIER, "Symbol", "ZapfDingbats")
-#: accented letters the text fonts hold beyond the standard encoding
-ACCENTED = re.compile(r"^([A-Za-z])(grave|acute|circumflex|tilde|dieresis|ring|caron|cedilla|breve|macron|ogonek|dotaccent|hungarumlaut|commaaccent)$")
+# The letters each accent stands on in the text fonts, beyond the standard encoding, and what isn't as wide as its letter.
+ACCENTED = {
+    "acute": "AaCcEeIiLlNnOoRrSsUuYyZz", "grave": "AaEeIiOoUu", "circumflex": "AaEeIiOoUu", "tilde": "AaNnOo", "dieresis": "AaEeIiOoUuYy", "ring": "AaUu", "caron": "CcDEeLNnRrSsTZz", "cedilla": "CcSs", "breve": "AaGg",
+    "macron": "AaEeIiOoUu", "ogonek": "AaEeIiUu", "dotaccent": "EeIZz", "hungarumlaut": "OoUu", "commaaccent": "GKkLlNnRrSsTtg",
+}
+ODD_WIDTHS = {("Times-Italic", "Lcaron"): 611}
 
 
 @lru_cache(32)
@@ -100,11 +104,10 @@ def core_font(name: str) -> tuple[tuple[int, int, str], ...] | None:
     width = {n: w for _, w, n in out}
     loose = dict(zip(LOOSE_NAMES, LOOSE_WIDTHS[family]))
     out += [(-1, w, n) for n, w in loose.items()]
-    for n, cp in glyph_names().items():
-        m = ACCENTED.match(n)
-        if m and n not in loose and cp < 0x250 and unicodedata.normalize("NFD", chr(cp))[0] == m[1]:
-            base = width["dotlessi"] if m[1] == "i" and m[2] != "ogonek" else width[m[1]]
-            out.append((-1, base, n))
+    for accent, letters in ACCENTED.items():
+        for c in letters:
+            base = width["dotlessi"] if c == "i" and accent != "ogonek" else width[c]
+            out.append((-1, ODD_WIDTHS.get((family, c + accent), base), c + accent))
     return tuple(out)
 
 

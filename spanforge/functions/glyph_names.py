@@ -1,7 +1,7 @@
 """Glyph names and the characters they stand for.
 
-Most names follow from rules: a base letter and its accents, Greek and Cyrillic numbering, the
-names of letters in other scripts, small capitals and old-style figures in the private area.
+Most names follow from rules: a base letter and its accents, Greek and Cyrillic numbering, small
+capitals and old-style figures in the private area, and the families of ``glyph_rules``.
 Only what no rule gives is listed. A published glyph list can be loaded on top of it.
 """
 
@@ -11,6 +11,8 @@ import re
 import unicodedata
 from functools import lru_cache
 
+from .glyph_rules import families
+
 # Names of the printable ASCII characters from space on.
 ASCII_NAMES = (
     "space exclam quotedbl numbersign dollar percent ampersand quotesingle parenleft parenright asterisk plus comma hyphen period slash "
@@ -57,16 +59,13 @@ ACCENTS = {
     "dblgrave": 0x30F, "invertedbreve": 0x311, "horn": 0x31B, "dotbelow": 0x323, "dieresisbelow": 0x324, "ringbelow": 0x325, "commaaccent": 0x326, "cedilla": 0x327, "ogonek": 0x328, "circumflexbelow": 0x32D, "tildebelow": 0x330, "linebelow": 0x331,
 }
 DIGITS = "zero one two three four five six seven eight nine".split()
-SCRIPTS = {"HIRAGANA": "hiragana", "KATAKANA": "katakana", "DEVANAGARI": "deva", "BENGALI": "bengali", "GUJARATI": "gujarati", "GURMUKHI": "gurmukhi", "HEBREW": "hebrew", "ARMENIAN": "armenian", "CYRILLIC": "cyrillic", "ARABIC": "arabic"}
-
-
 def _composed() -> dict[str, int]:
     out: dict[str, int] = {}
     bases = {**{c: c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"}, "AE": "Æ", "ae": "æ", "Oslash": "Ø", "oslash": "ø"}
     for name, letter in bases.items():
         for a, mark in ACCENTS.items():
             one = unicodedata.normalize("NFC", letter + chr(mark))
-            if a == "commaaccent" and letter in "GgKkLlNnRr":  # the comma forms are encoded with a cedilla
+            if a == "commaaccent" and letter in "GgKkLlNnRrTt":  # the comma forms are encoded with a cedilla
                 one = unicodedata.normalize("NFC", letter + "̧")
             if len(one) == 1:
                 out[name + a] = ord(one)
@@ -88,32 +87,33 @@ def _numbered() -> dict[str, int]:
     out |= {"afii10050": 0x490, "afii10098": 0x491, "afii10145": 0x40F, "afii10193": 0x45F, "afii61352": 0x2116, "afii61289": 0x2113}
     out |= {f"afii{57664 + i}": 0x5D0 + i for i in range(27)}
     out |= {f"afii{57392 + i}": 0x660 + i for i in range(10)}
+    out |= {f"afii{57409 + i}": 0x621 + i for i in range(26)} | {f"afii{57440 + i}": 0x640 + i for i in range(19) if i != 7} | {"afii57470": 0x647}
+    # Numbers out of order.
+    out |= {
+        "afii08941": 0x20A4, "afii10146": 0x462, "afii10147": 0x472, "afii10148": 0x474, "afii10194": 0x463, "afii10195": 0x473, "afii10196": 0x475, "afii10846": 0x4D9, "afii299": 0x200E, "afii300": 0x200F, "afii301": 0x200D, "afii57381": 0x66A, "afii57388": 0x60C,
+        "afii57403": 0x61B, "afii57407": 0x61F, "afii57505": 0x6A4, "afii57506": 0x67E, "afii57507": 0x686, "afii57508": 0x698, "afii57509": 0x6AF, "afii57511": 0x679, "afii57512": 0x688, "afii57513": 0x691, "afii57514": 0x6BA, "afii57519": 0x6D2, "afii57534": 0x6D5,
+        "afii57636": 0x20AA, "afii57645": 0x5BE, "afii57658": 0x5C3, "afii57694": 0xFB2A, "afii57695": 0xFB2B, "afii57700": 0xFB4B, "afii57705": 0xFB1F, "afii57716": 0x5F0, "afii57717": 0x5F1, "afii57718": 0x5F2, "afii57723": 0xFB35, "afii57793": 0x5B4, "afii57794": 0x5B5,
+        "afii57795": 0x5B6, "afii57796": 0x5BB, "afii57797": 0x5B8, "afii57798": 0x5B7, "afii57799": 0x5B0, "afii57800": 0x5B2, "afii57801": 0x5B1, "afii57802": 0x5B3, "afii57803": 0x5C2, "afii57804": 0x5C1, "afii57806": 0x5B9, "afii57807": 0x5BC, "afii57839": 0x5BD,
+        "afii57841": 0x5BF, "afii57842": 0x5C0, "afii57929": 0x2BC, "afii61248": 0x2105, "afii61573": 0x202C, "afii61574": 0x202D, "afii61575": 0x202E, "afii61664": 0x200C, "afii63167": 0x66D, "afii64937": 0x2BD,
+    }
     return out
 
 
-def _scripts() -> dict[str, int]:
+def _greek() -> dict[str, int]:
     out: dict[str, int] = {}
-    for cp in range(0x370, 0x3100):
-        name = unicodedata.name(chr(cp), "")
-        m = re.fullmatch(r"GREEK (SMALL|CAPITAL) LETTER ([A-Z]+)(?: WITH (TONOS|DIALYTIKA|DIALYTIKA AND TONOS))?", name)
+    for cp in range(0x370, 0x400):
+        m = re.fullmatch(r"GREEK (SMALL|CAPITAL) LETTER ([A-Z]+)(?: WITH (TONOS|DIALYTIKA|DIALYTIKA AND TONOS))?", unicodedata.name(chr(cp), ""))
         if m:
             letter = {"LAMDA": "LAMBDA", "FINAL": "SIGMA1"}.get(m[2], m[2])
             tail = {"TONOS": "tonos", "DIALYTIKA": "dieresis", "DIALYTIKA AND TONOS": "dieresistonos", None: ""}[m[3]]
             out[(letter.capitalize() if m[1] == "CAPITAL" else letter.lower()) + tail] = cp
-            continue
-        m = re.fullmatch(r"([A-Z]+) (SMALL |CAPITAL )?(LETTER|VOWEL SIGN|DIGIT) (SMALL )?([A-Z]+)", name)
-        if m and m[1] in SCRIPTS:
-            word = m[5].lower()
-            word = word.capitalize() if (m[2] or "").strip() == "CAPITAL" else word
-            kind = "vowelsign" if m[3] == "VOWEL SIGN" else ""
-            out[word + kind + ("small" if m[4] else "") + SCRIPTS[m[1]]] = cp
     return out
 
 
 @lru_cache(1)
 def glyph_names() -> dict[str, int]:
     """All names known by rule or list, with their code points."""
-    out = _scripts() | _numbered() | _composed()
+    out = families() | _greek() | _numbered() | _composed()
     out |= {n: 0x20 + i for i, n in enumerate(ASCII_NAMES)}
     for i, d in enumerate(DIGITS):
         out[d + "oldstyle"] = 0xF730 + i
@@ -126,9 +126,28 @@ def glyph_names() -> dict[str, int]:
             if small is not None and small < 0x100:
                 out[c + a + "small"] = 0xF700 + small
     out |= {"sigma1": 0x3C2, "theta1": 0x3D1, "Upsilon1": 0x3D2, "phi1": 0x3D5, "omega1": 0x3D6, "dotlessi": 0x131, "tonos": 0x384, "dieresistonos": 0x385}
+    out |= {n + "monospace": 0xFF01 + i for i, n in enumerate(ASCII_NAMES[1:])}
+    out |= {"Cdot": 0x10A, "cdot": 0x10B, "Edot": 0x116, "edot": 0x117, "Gdot": 0x120, "gdot": 0x121, "Idot": 0x130, "Zdot": 0x17B, "zdot": 0x17C, "Dslash": 0x110, "Dbar": 0x110, "dbar": 0x111, "dmacron": 0x111}
+    out |= {"Odblacute": 0x150, "odblacute": 0x151, "Udblacute": 0x170, "udblacute": 0x171, "Ostrokeacute": 0x1FE, "ostrokeacute": 0x1FF, "Schwa": 0x18F, "schwa": 0x259, "Deltagreek": 0x394, "Omegagreek": 0x3A9, "mugreek": 0x3BC, "mu1": 0xB5, "middot": 0xB7}
+    out |= {"f_f": 0xFB00, "f_i": 0xFB01, "f_l": 0xFB02, "f_f_i": 0xFB03, "f_f_l": 0xFB04, "st": 0xFB06, "longst": 0xFB05, "ct": 0x63, "euro": 0x20AC, "Ohm": 0x2126, "overscore": 0xAF, "enspace": 0x2002, "hyphentwo": 0x2010, "zerowidthspace": 0x200B}
     return out | OTHER_NAMES | EXPERT_NAMES
 
 
+@lru_cache(1)
+def standard_order() -> tuple[str, ...]:
+    """The 258 names of the standard order of TrueType fonts: ASCII, then the upper half of Mac Roman, then those listed."""
+    by: dict[int, str] = {}
+    for names in (OTHER_NAMES, EXPERT_NAMES, _greek(), _composed()):
+        for n, cp in names.items():
+            by.setdefault(cp, n)
+    upper = [by.get(ord(bytes([c]).decode("mac_roman")), "") for c in range(128, 256)]
+    for c, name in {0xB5: "mu", 0xBD: "Omega", 0xC6: "Delta", 0xCA: "nonbreakingspace", 0xDB: "currency", 0xF0: "apple"}.items():
+        upper[c - 128] = name
+    # The names after Mac Roman.
+    rest = "Lslash lslash Scaron scaron Zcaron zcaron brokenbar Eth eth Yacute yacute Thorn thorn minus multiply onesuperior twosuperior threesuperior onehalf onequarter threequarters franc Gbreve gbreve Idotaccent Scedilla scedilla Cacute cacute Ccaron ccaron dcroat"
+    return (".notdef", ".null", "nonmarkingreturn", *ASCII_NAMES, *upper, *rest.split())
+
+
 def load_glyph_list(path: str) -> dict[str, int]:
     """A published glyph list (lines of name;hex), added to the names known by rule. Names of several characters are left out."""
     out = dict(glyph_names())

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .functions.encodings import encoding_rows
-from .queries import helvetica_rows
+import unicodedata
+
+from .functions.core_metrics import CORE_FONTS, core_font, zapf_codes
 
 LINES = """
 given AS (SELECT DISTINCT doc, line_no, coalesce(array_to_string(list_transform(spans, lambda s: coalesce(s.text, '')), ' '), '') AS text, len(spans) AS n FROM text_lines)"""
@@ -53,8 +54,67 @@ ROUND_LINES = ROUND + numbered("rt") + """,
 rt_lines AS (SELECT d.doc, n.line_no::INT AS line_no FROM (SELECT doc, max(line_no) AS m FROM placed GROUP BY doc) d, unnest(range(m + 1)) AS n(line_no))"""
 
 
-def pretty(lines: str, span: str, args: str = "") -> str:
+#: right edges of each document folded span by span into clusters, and the clusters that are columns
+COLUMNS = """
+lines AS (SELECT DISTINCT doc, line_no, spans FROM text_lines), given AS (SELECT doc, line_no, unnest(range(len(spans))) AS i, spans FROM lines),
+gs AS (SELECT doc, line_no, i, coalesce(spans[i + 1].text, '') AS text, spans[i + 1].bbox.l::FLOAT AS l, spans[i + 1].bbox.r::FLOAT AS r FROM given),
+edges AS (SELECT doc, l, r, row_number() OVER (PARTITION BY doc ORDER BY line_no, i) AS k FROM gs WHERE l IS NOT NULL AND r IS NOT NULL),
+fold(doc, k, sums, counts, l0, l1, r0, r1) AS (
+  SELECT doc, 1, [r], [1::FLOAT], [l], [l], [r], [r] FROM edges WHERE k = 1
+  UNION ALL
+  SELECT doc, k, CASE WHEN j = 0 THEN list_append(sums, r) ELSE list_transform(sums, lambda x, i: CASE WHEN i = j THEN (x + r)::FLOAT ELSE x END) END,
+    CASE WHEN j = 0 THEN list_append(counts, 1::FLOAT) ELSE list_transform(counts, lambda x, i: CASE WHEN i = j THEN (x + 1)::FLOAT ELSE x END) END,
+    CASE WHEN j = 0 THEN list_append(l0, l) ELSE list_transform(l0, lambda x, i: CASE WHEN i = j THEN least(x, l) ELSE x END) END, CASE WHEN j = 0 THEN list_append(l1, l) ELSE list_transform(l1, lambda x, i: CASE WHEN i = j THEN greatest(x, l) ELSE x END) END,
+    CASE WHEN j = 0 THEN list_append(r0, r) ELSE list_transform(r0, lambda x, i: CASE WHEN i = j THEN least(x, r) ELSE x END) END, CASE WHEN j = 0 THEN list_append(r1, r) ELSE list_transform(r1, lambda x, i: CASE WHEN i = j THEN greatest(x, r) ELSE x END) END
+  FROM (SELECT *, CASE WHEN list_min(far) < 8 THEN list_position(far, list_min(far)) ELSE 0 END AS j FROM
+    (SELECT f.* EXCLUDE (k), e.k, e.l, e.r, list_transform(sums, lambda x, i: abs(e.r - (x / counts[i])::FLOAT)::FLOAT) AS far FROM fold f JOIN edges e ON e.doc = f.doc AND e.k = f.k + 1))),
+ended AS (SELECT f.* FROM fold f JOIN (SELECT doc, max(k) AS k FROM edges GROUP BY doc) m ON f.doc = m.doc AND f.k = m.k),
+clusters AS (SELECT doc, unnest(range(1, len(sums) + 1)) AS j, sums, counts, l0, l1, r0, r1 FROM ended),
+tall AS (SELECT doc, j, (sums[j] / counts[j])::FLOAT AS mean, counts[j] AS n, (l1[j] - l0[j])::FLOAT AS wide, (r1[j] - r0[j])::FLOAT AS off FROM clusters),
+cols AS (SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY j) - 1)::INT AS n, mean FROM tall WHERE n >= 3 AND wide >= CASE WHEN mean >= 450 THEN 5 ELSE 50 END AND off < 3.7::FLOAT AND mean >= 200)"""
+LEFT = "greatest(0, floor(l / 4 + 0.5))"
+#: a span within 16 points of a column's edge ends at the first such column
+ALIGNED = f"coalesce((SELECT CASE WHEN count(*) > 0 THEN greatest(0, greatest(0, floor(arg_min(c.mean, c.n) / 4::FLOAT + 0.5)) - length(o.text)) END FROM cols c WHERE c.doc = o.doc AND abs(o.r - c.mean)::FLOAT < 16), {LEFT})"
+
+
+def _encodings() -> list[tuple[str, int, int]]:
+    """The named encodings from the code pages they follow; where they differ is spelled out."""
+    out = []
+    for code in range(32, 256):
+        win = bytes([code]).decode("cp1252", "ignore")
+        win = {127: "•", 160: " ", 173: "-", 129: "•", 141: "•", 143: "•", 144: "•", 157: "•"}.get(code, win)
+        out.append(("WinAnsiEncoding", code, ord(win)))
+        if code != 127:
+            mac = {219: "¤", 202: " ", 189: "Ω", 198: "∆", 181: "µ", 240: "\uf8ff"}.get(code) or bytes([code]).decode("mac_roman")
+            out.append(("MacRomanEncoding", code, 0x2126 if code == 189 else ord(mac)))
+    return out
+
+
+def _glyphs() -> list[tuple[str, str, int, int]]:
+    """font, name, code point and width of the standard fonts; the characters of letters with accents from their Unicode names."""
+    marks = {"grave": "GRAVE", "acute": "ACUTE", "circumflex": "CIRCUMFLEX", "tilde": "TILDE", "dieresis": "DIAERESIS", "ring": "RING ABOVE", "caron": "CARON", "cedilla": "CEDILLA", "breve": "BREVE", "macron": "MACRON", "ogonek": "OGONEK", "dotaccent": "DOT ABOVE", "hungarumlaut": "DOUBLE ACUTE"}
+    from .functions.glyph_names import glyph_names
+
+    out = []
+    for font in CORE_FONTS:
+        for code, width, name in core_font(font):
+            mark = marks.get(name[1:])
+            if font == "ZapfDingbats":
+                cp = zapf_codes().get(code, 0)
+            elif mark:
+                cp = ord(unicodedata.lookup(f"LATIN {'CAPITAL' if name[0].isupper() else 'SMALL'} LETTER {name[0].upper()} WITH {mark}"))
+            elif len(name) == 1:
+                cp = ord(name)
+            else:
+                cp = glyph_names()[name]
+            out.append((font, name, cp, width))
+    return out
+
+
+def pretty(lines: str, span: str, args: str = "", start: str = "greatest(0, floor(l / 4 + 0.5))") -> str:
     """Padding by the closed form of the cursor: a running maximum of start less what came before."""
+    if start != "greatest(0, floor(l / 4 + 0.5))":
+        return f"WITH RECURSIVE {lines}, placed_by AS (SELECT o.*, {start} AS begins FROM {span} o)," + pretty("", "placed_by", args, "greatest(0, floor(l / 4 + 0.5))").replace("\nWITH ,", "").replace("greatest(0, floor(l / 4 + 0.5)) AS s", "begins AS s")
     return f"""
 WITH {lines},
 q1 AS (SELECT *, length(text) AS n, greatest(0, floor(l / 4 + 0.5)) AS s, coalesce(sum(length(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER w AS k FROM {span} WINDOW w AS (PARTITION BY doc, line_no ORDER BY {args})),
@@ -64,8 +124,10 @@ q3 AS (SELECT *, pos - coalesce(lag(pos + n) OVER (PARTITION BY doc, line_no ORD
 
 def oracle_sql() -> dict[str, str]:
     w = lambda ctes, tail: f"WITH {ctes} {tail}"
-    values = ", ".join(f"({a}, '{b}', {c})" for a, b, c in helvetica_rows() if b != "'")
-    codes = ", ".join(f"('{e}', {c}, {cp})" for e, c, cp in encoding_rows())
+    glyphs = _glyphs()
+    values = ", ".join(f"({width}, chr({cp}), {cp})" for font, _, cp, width in glyphs if font == "Helvetica")
+    names = ", ".join(f"('{font}', '{name}', {cp}, {width})" for font, name, cp, width in glyphs)
+    codes = ", ".join(f"('{e}', {c}, {cp})" for e, c, cp in _encodings())
     shown = "line_no, coalesce(string_agg(repeat(' ', pad::BIGINT) || text, '' ORDER BY k), '') AS text"
     given_spans = """lines AS (SELECT DISTINCT doc, line_no, spans FROM text_lines), given AS (SELECT doc, line_no, unnest(range(len(spans))) AS i, spans FROM lines),
       gs AS (SELECT doc, line_no, i, coalesce(spans[i + 1].text, '') AS text, spans[i + 1].bbox.l AS l FROM given)"""
@@ -97,6 +159,9 @@ def oracle_sql() -> dict[str, str]:
         "font_counts": w(CURRENT, "SELECT font_name, count(*) AS spans FROM cs GROUP BY font_name"),
         "region_filter": w(CURRENT, "SELECT doc, page_num, span_seq, text FROM cs WHERE t < 100 AND l > 60"),
         "band_rows": w(CURRENT, "SELECT doc, page_num, (round_even(t::DOUBLE / 10, 0) * 10)::INT AS band, count(*)::INT AS cells, string_agg(coalesce(text, ''), ' | ' ORDER BY l, span_seq) AS row FROM cs WHERE t IS NOT NULL GROUP BY ALL"),
+        "right_aligned_columns": f"WITH RECURSIVE {COLUMNS} SELECT doc, n, round(mean::DOUBLE, 3) AS position FROM cols",
+        "pretty_text_full": pretty(COLUMNS, "gs", "i", ALIGNED) + f", made AS (SELECT doc, {shown} FROM q3 GROUP BY doc, line_no) SELECT a.doc, string_agg(coalesce(m.text, '') || chr(10), '' ORDER BY a.line_no) AS pretty FROM lines a LEFT JOIN made m ON a.doc = m.doc AND a.line_no = m.line_no GROUP BY a.doc",
+        "glyph_name_lookup": f"SELECT font, name, code_point, width::DOUBLE AS width FROM (VALUES {names}) AS t(font, name, code_point, width)",
         "width_rows": "WITH f AS (SELECT DISTINCT doc, font_id, unnest(map_entries(widths)) AS w FROM fonts WHERE widths IS NOT NULL) SELECT doc, font_id, w.key AS code, round(w.value::DOUBLE, 3) AS width FROM f",
         "unicode_rows": "WITH f AS (SELECT DISTINCT doc, font_id, unnest(map_entries(to_unicode)) AS w FROM fonts WHERE to_unicode IS NOT NULL) SELECT doc, font_id, w.key AS code, w.value AS text FROM f",
         "encoding_lookup": f"WITH e(encoding, code, cp) AS (VALUES {codes}), f AS (SELECT DISTINCT doc, font_id, encoding, unnest(map_keys(widths)) AS code FROM fonts WHERE widths IS NOT NULL) SELECT doc, font_id, f.code, chr(cp) AS text FROM f JOIN e ON e.encoding = f.encoding AND e.code = f.code",
@@ -108,9 +173,15 @@ def oracle_sql() -> dict[str, str]:
         "pdf_spans": w(FILES, f"SELECT doc, 1 AS page_num, 0::BIGINT AS span_seq, {curly} AS text, 102.0::DOUBLE AS t, (72 + 6 * length(text))::DOUBLE AS r, 92.0::DOUBLE AS b, 72.0::DOUBLE AS l, 'Courier' AS font_name, 10.0::DOUBLE AS font_size FROM shown WHERE text <> ''"),
         "pdf_glyphs": w(FILES, f", c AS (SELECT doc, unnest(range(length(text))) AS i, text AS raw, {curly} AS shown FROM shown) SELECT doc, 1 AS page, i AS seq, ascii(substr(raw, i + 1, 1)) AS code, substr(c.shown, i + 1, 1) AS text, (72 + 6 * i)::DOUBLE AS x, 92.0::DOUBLE AS y FROM c"),
         "pdf_pretty": w(FILES, f"SELECT doc, repeat(' ', 18) || {curly} || chr(10) AS pretty FROM shown WHERE text <> ''"),
+        "pdf_output": w(FILES, f", failed AS (SELECT doc, CASE WHEN content IS NULL OR octet_length(content) = 0 THEN 'IoError' ELSE 'FormatError' END AS error FROM files WHERE doc NOT IN (SELECT doc FROM shown)) SELECT doc, 1 AS lines, {curly} || chr(10) AS plain, repeat(' ', 18) || {curly} || chr(10) AS pretty, NULL::VARCHAR AS error FROM shown WHERE text <> '' UNION ALL SELECT doc, NULL, NULL, NULL, error FROM failed"),
+        "pdf_pages": w(FILES, "SELECT doc, 1 AS page, m * 0.0::DOUBLE AS llx, m * 0.0::DOUBLE AS lly, m * 612.0::DOUBLE AS urx, m * 792.0::DOUBLE AS ury, contains(body, '/Font<</F1 5 0 R')::INT AS fonts FROM (SELECT *, CASE WHEN contains(body, '/MediaBox[0 0 612 792]') THEN 1 END AS m FROM texts) WHERE contains(body, '/Type/Page/Parent')"),
+        "pdf_content": w(FILES, ", ops(op_no, operator) AS (VALUES (0, 'BT'), (1, 'Tf'), (2, 'Td'), (3, 'Tj'), (4, 'ET')) SELECT doc, 1 AS page, op_no, operator, CASE operator WHEN 'Tf' THEN 'F1 10' WHEN 'Td' THEN '72 700' WHEN 'Tj' THEN '(' || text || ')' ELSE '' END AS operands FROM (SELECT doc, regexp_extract(body, '\\((.*)\\) Tj', 1) AS text FROM texts WHERE contains(body, ') Tj ET')), ops UNION ALL SELECT doc, 1, 5, regexp_extract(body, 'ET\n([a-z]+)$', 1), '' FROM texts WHERE regexp_matches(body, 'ET\n[a-z]+$')"),
+        "error_rows": w(FILES, "SELECT CASE WHEN content IS NULL OR octet_length(content) = 0 THEN 'IoError' ELSE 'FormatError' END AS kind, count(*) AS files FROM files WHERE doc NOT IN (SELECT doc FROM shown) GROUP BY ALL"),
         "pdf_fonts": w(FILES, "SELECT doc, 'F1' AS font_id, 'Type1' AS subtype, 'Courier' AS base_font, NULL::VARCHAR AS encoding, NULL::VARCHAR AS error FROM texts WHERE contains(body, 'BaseFont/Courier>>')"),
         "pdf_roundtrip_spans": w(ROUND, "SELECT doc, page_num, text, t, r, b, l, font_name FROM rt"),
         "pdf_roundtrip_plain": w(ROUND_LINES, "SELECT a.doc, string_agg(coalesce(p.text, '') || chr(10), '' ORDER BY a.line_no) AS plain FROM rt_lines a LEFT JOIN placed p ON a.doc = p.doc AND a.line_no = p.line_no GROUP BY a.doc"),
         "pages_count": w(FILES, "SELECT doc, 1::BIGINT AS pages FROM texts WHERE contains(body, '/Type/Page/Parent')"),
     }
+    # other means of the format, the same spans
+    out |= dict.fromkeys(("pdf_text_moves", "pdf_text_arrays", "pdf_graphics_state", "pdf_form_xobject", "pdf_filters", "pdf_cid_widths", "pdf_encrypted_rc4", "pdf_encrypted_aes"), out["pdf_roundtrip_spans"])
     return out

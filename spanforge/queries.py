@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.core_metrics import core_font
 from .operators import lines as L
 from .operators import lookups, patterns, render
 from .operators import spans as S
@@ -102,7 +101,9 @@ def pretty_text_left(spark: SparkSession, d: str) -> DataFrame:
 
 
 def right_aligned_columns(spark: SparkSession, d: str) -> DataFrame:
-    return render.right_columns(_t(spark, d, "text_lines").dropDuplicates(["doc", "line_no"]))
+    """The right-aligned columns of each document, by the number of the column."""
+    found = render.right_columns(_t(spark, d, "text_lines").dropDuplicates(["doc", "line_no"]))
+    return found.select("doc", F.posexplode("positions").alias("n", "position")).select("doc", "n", d3(F.col("position")).alias("position"))
 
 
 def pretty_text_full(spark: SparkSession, d: str) -> DataFrame:
@@ -167,9 +168,10 @@ def encoding_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def glyph_name_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Glyphs of the standard fonts with their characters, by joining names."""
-    m = lookups.core_metrics(ship(spark)).where("font = 'Times-Roman'").select(F.col("glyph").alias("name"), "width")
-    return m.join(lookups.names(spark), "name").select("name", "code_point", d3(F.col("width")).alias("width"))
+    """Glyphs of all standard fonts with their characters, by joining names; dingbats by their codes."""
+    m = lookups.core_metrics(ship(spark)).withColumnRenamed("glyph", "name")
+    named = m.where("font <> 'ZapfDingbats'").drop("code_point").join(lookups.names(spark), "name")
+    return named.unionByName(m.where("font = 'ZapfDingbats'")).select("font", "name", "code_point", d3(F.col("width")).alias("width"))
 
 
 def width_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -182,16 +184,11 @@ def unicode_rows(spark: SparkSession, d: str) -> DataFrame:
     return pdf.cmaps(f)
 
 
-def helvetica_rows() -> list[tuple[int, str, int]]:
-    """(width, character, order) of the encoded ASCII glyphs of a standard font."""
-    return [(w, chr(c), i) for i, (c, w, _) in enumerate(core_font("Helvetica")) if 32 <= c <= 126 and c not in (39, 96)]
-
-
 def nearest_width_match(spark: SparkSession, d: str) -> DataFrame:
-    """For every width of the fonts given, the character of nearest width in a standard font."""
+    """For every width of the fonts given, the character of nearest width among all glyphs of a standard font."""
     wanted = width_rows(spark, d).select("width").distinct().select(F.col("width").alias("key"), "width")
-    offered = spark.createDataFrame(helvetica_rows(), "width int, char string, ord int")
-    return lookups.nearest_width(wanted, offered).select("width", "char", "matched_width")
+    m = lookups.core_metrics(spark).where("font = 'Helvetica'").select(F.col("width").cast("int").alias("width"), lookups.char_of(F.col("code_point")).alias("char"), F.col("code_point").alias("ord"))
+    return lookups.nearest_width(wanted, m).select("width", "char", "matched_width")
 
 
 def cid_gid_unicode(spark: SparkSession, d: str) -> DataFrame:
@@ -239,14 +236,56 @@ def pdf_fonts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pdf_content(spark: SparkSession, d: str) -> DataFrame:
-    """Text operators of the first pages."""
-    return pdf.page_content(_files(spark, d), 1).where(F.col("operator").isin("Tj", "TJ", "Tf")).select("doc", "page", "op_no", "operator", "operands")
+    """All operations of all pages."""
+    return pdf.page_content(_files(spark, d))
+
+
+def _roundtrip(spark: SparkSession, d: str, feature: str) -> DataFrame:
+    s = text.extract(roundtrip.files(layout.line_texts(_t(spark, d, "text_lines")), feature)).spans
+    return s.select("doc", "page_num", "text", *_box(), "font_name")
 
 
 def pdf_roundtrip_spans(spark: SparkSession, d: str) -> DataFrame:
     """Spans of the given lines after they were written as PDF files and read back."""
-    s = text.extract(roundtrip.files(layout.line_texts(_t(spark, d, "text_lines")))).spans
-    return s.select("doc", "page_num", "text", *_box(), "font_name")
+    return _roundtrip(spark, d, "")
+
+
+def pdf_text_moves(spark: SparkSession, d: str) -> DataFrame:
+    """The same with lines placed by Td, TD, TL and T*."""
+    return _roundtrip(spark, d, "moves")
+
+
+def pdf_text_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """The same with each line shown by TJ in parts."""
+    return _roundtrip(spark, d, "arrays")
+
+
+def pdf_graphics_state(spark: SparkSession, d: str) -> DataFrame:
+    """The same with lines placed by cm between q and Q, with a rise, spacings, a scale and marked content."""
+    return _roundtrip(spark, d, "states")
+
+
+def pdf_form_xobject(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the lines of each page in a form, half of them with resources of their own."""
+    return _roundtrip(spark, d, "forms")
+
+
+def pdf_filters(spark: SparkSession, d: str) -> DataFrame:
+    """The same with content under LZW, hexadecimal, base 85 over Flate, Flate with PNG predictors, and none."""
+    return _roundtrip(spark, d, "filters")
+
+
+def pdf_cid_widths(spark: SparkSession, d: str) -> DataFrame:
+    """The same with composite fonts that give widths by W arrays, horizontal and vertical."""
+    return _roundtrip(spark, d, "widths")
+
+
+def pdf_encrypted_rc4(spark: SparkSession, d: str) -> DataFrame:
+    return _roundtrip(spark, d, "rc4")
+
+
+def pdf_encrypted_aes(spark: SparkSession, d: str) -> DataFrame:
+    return _roundtrip(spark, d, "aes")
 
 
 def pdf_roundtrip_plain(spark: SparkSession, d: str) -> DataFrame:
@@ -257,7 +296,7 @@ def error_rows(spark: SparkSession, d: str) -> DataFrame:
     return text.extract(_files(spark, d)).errors.groupBy("kind").agg(F.count("*").alias("files"))
 
 
-NOT_QUERIES = {"helvetica_rows", "queries", "d3", "ship", "core_font"}
+NOT_QUERIES = {"queries", "d3", "ship"}
 
 
 def queries() -> dict[str, Query]:

@@ -221,7 +221,7 @@ def embedded_fonts(files: DataFrame, password: str | None = None, mode: str = "P
 
 
 def font_glyphs(font_files: DataFrame) -> DataFrame:
-    """Glyphs of TrueType files (doc, font_id, data): glyph, name, code point, advance of 1000."""
+    """Glyphs of TrueType files (doc, font_id, data): glyph, name, code point, advance of 1000; one row with an error for a file that can't be read."""
     ship(font_files.sparkSession)
 
     def run(batches):
@@ -231,16 +231,18 @@ def font_glyphs(font_files: DataFrame) -> DataFrame:
                     f = truetype.Font(data)
                     adv, names = f.advances(), f.names()
                     by = {g: c for _, _, m in f.subtables() for c, g in m.items()}
-                except Exception:
+                except Exception as e:
+                    one = {"doc": pa.array([doc], pa.string()), "font_id": pa.array([fid], pa.string()), "glyph": pa.nulls(1, pa.int32()), "name": pa.nulls(1, pa.string()), "code_point": pa.nulls(1, pa.int32()), "advance": pa.nulls(1, pa.float32())}
+                    yield pa.record_batch(one | {"error": pa.array([f"{type(e).__name__}: {e}"], pa.string())})
                     continue
                 gs = sorted(set(by) | set(names) | set(range(min(len(adv), f.glyphs))))
                 n = len(gs)
                 yield pa.record_batch({
                     "doc": pa.array([doc] * n, pa.string()), "font_id": pa.array([fid] * n, pa.string()), "glyph": pa.array(gs, pa.int32()), "name": pa.array([names.get(g) for g in gs], pa.string()),
-                    "code_point": pa.array([by.get(g) for g in gs], pa.int32()), "advance": pa.array([adv[g] * 1000.0 / f.units if g < len(adv) else None for g in gs], pa.float32()),
+                    "code_point": pa.array([by.get(g) for g in gs], pa.int32()), "advance": pa.array([adv[g] * 1000.0 / f.units if g < len(adv) else None for g in gs], pa.float32()), "error": pa.nulls(n, pa.string()),
                 })
 
-    return font_files.select("doc", "font_id", "data").mapInArrow(run, "doc string, font_id string, glyph int, name string, code_point int, advance float")
+    return font_files.select("doc", "font_id", "data").mapInArrow(run, "doc string, font_id string, glyph int, name string, code_point int, advance float, error string")
 
 
 def page_content(files: DataFrame, page: int | None = None, password: str | None = None, mode: str = "PERMISSIVE") -> DataFrame:

@@ -163,7 +163,8 @@ class Document:
         self.crypt: Decryptor | None = None
         try:
             self._read_xref()
-            if not isinstance(self.get(self.trailer.get("Root")), dict):
+            # in an encrypted file the catalog may lie in an object stream no one can read yet
+            if "Encrypt" not in self.trailer and not isinstance(self.get(self.trailer.get("Root")), dict):
                 raise PdfError("no catalog")
         except (PdfError, ValueError, IndexError, KeyError, TypeError, AttributeError, RecursionError):
             self.cache.clear()

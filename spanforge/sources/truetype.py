@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import struct
 
+from ..functions.glyph_names import standard_order
+
 
 class Font:
     """A font file; only the first face of a collection is read."""
@@ -90,10 +92,13 @@ class Font:
         return w + w[-1:] * max(0, self.glyphs - n)
 
     def names(self) -> dict[int, str]:
-        """Glyph names of a format 2 post table; names of the standard order are left out."""
+        """Glyph names of a post table: of format 1 the standard order, of format 2 by index into it or the table's own."""
         off, size = self.tables.get("post", (0, 0))
         d = self.data
-        if not off or struct.unpack(">I", d[off : off + 4])[0] != 0x20000:
+        kind = struct.unpack(">I", d[off : off + 4])[0] if off else 0
+        if kind == 0x10000:
+            return dict(enumerate(standard_order()[: self.glyphs]))
+        if kind != 0x20000:
             return {}
         n = struct.unpack(">H", d[off + 32 : off + 34])[0]
         index = struct.unpack(f">{n}H", d[off + 34 : off + 34 + 2 * n])
@@ -102,7 +107,8 @@ class Font:
             k = d[p]
             strings.append(d[p + 1 : p + 1 + k].decode("latin-1"))
             p += 1 + k
-        return {g: strings[i - 258] for g, i in enumerate(index) if 258 <= i < 258 + len(strings)}
+        all_names = (*standard_order(), *strings)
+        return {g: all_names[i] for g, i in enumerate(index) if i < len(all_names)}
 
 
 def is_unicode(platform: int, encoding: int) -> bool:

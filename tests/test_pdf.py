@@ -4,7 +4,8 @@ import pytest
 from pdf_writer import COURIER, assemble, encrypted, lines_content, object_stream_file, pages, stream
 
 from spanforge.functions.encodings import macexpert, macroman, named_encoding, pdf_text, pdfdoc, winansi
-from spanforge.sources import filters
+from spanforge.plans import roundtrip
+from spanforge.sources import filters, pdf
 from spanforge.sources.fonts import Options, width_matches
 from spanforge.sources.interpreter import Interpreter
 from spanforge.sources.pdf_objects import Document, PdfError
@@ -22,6 +23,9 @@ def text(data, password=None, **options):
     return "".join(glyphs(data, password, **options).text)
 
 
+text_in = text
+
+
 def one(content, fonts=None, **kw):
     return assemble(pages([content], fonts, **kw))
 
@@ -269,3 +273,36 @@ def test_font_rows_and_embedded_files(spark):
     assert bytes(e.first().data) == file and e.first().size == len(file)
     got = {(g.glyph, g.code_point, g.advance) for g in pdf.font_glyphs(e).collect()}
     assert got == {(0, None, 0.0), (1, 0x41, 600.0), (2, 0x3B1, 250.0)}
+
+
+def test_names_by_rule_and_the_standard_order():
+    from spanforge.functions.core_metrics import CORE_FONTS, core_font
+    from spanforge.functions.glyph_names import glyph_names, standard_order
+
+    names = glyph_names()
+    want = {
+        "Icyrillic": 0x406, "Iicyrillic": 0x418, "Ereversedcyrillic": 0x42D, "Chedescenderabkhasiancyrillic": 0x4BE, "Yuslittleiotifiedcyrillic": 0x468, "Tcommaaccent": 0x162, "tcommaaccent": 0x163, "palochkacyrillic": 0x4C0,
+        "alefhamzaabovearabic": 0x623, "ainmedialarabic": 0xFECC, "lamalefmaddaabovefinalarabic": 0xFEF6, "finalkafdagesh": 0xFB3A, "shinshindothebrew": 0xFB2A, "hatafpatahwidehebrew": 0x5B2, "kokaithai": 0xE01, "kiyeoksioskorean": 0x3133,
+        "twentycircle": 0x2473, "aparen": 0x249C, "Twelveroman": 0x216B, "asciitildemonospace": 0xFF5E, "aamatragurmukhi": 0xA3E, "rvocalicvowelsigndeva": 0x943, "hookcmb": 0x309, "wbsquare": 0x33DD, "kmsquaredsquare": 0x33A2, "controlUS": 0x1F,
+    }
+    assert {n: names.get(n) for n in want} == want
+    order = standard_order()
+    assert len(order) == 258 and order[36] == "A" and order[98] == "Adieresis" and order[225] == "caron" and order[257] == "dcroat" and set(order[3:]) - {"nonbreakingspace"} <= set(names)
+    for f in CORE_FONTS:
+        glyphs = [g for _, _, g in core_font(f)]
+        assert len(glyphs) == len(set(glyphs)) == {"Symbol": 190, "ZapfDingbats": 202}.get(f, 315)
+    width = lambda f: {g: w for _, w, g in core_font(f)}
+    assert width("Times-BoldItalic")["fi"] == 556 and width("Times-Italic")["Lcaron"] == 611 and "Acaron" not in width("Helvetica")
+
+
+@pytest.mark.parametrize("feature", roundtrip.FEATURES)
+def test_every_way_of_writing_reads_the_same(feature):
+    for variant in range(10):
+        for text in ("abc def", "Жук und 文字", "a\U0001f600b"):
+            assert text_in(roundtrip.write_pdf([(0, text), (3, "x"), (60, text)], variant, feature)) == text + "x" + text
+
+
+def test_unreadable_font_file_is_a_row(spark):
+    df = spark.createDataFrame([("d", "F1", bytearray(b"nonsense"))], "doc string, font_id string, data binary")
+    (row,) = pdf.font_glyphs(df).collect()
+    assert row.glyph is None and row.error
