@@ -103,11 +103,12 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     fixed = spark.createDataFrame([(p.source, p.target_share, p.max_repeats, p.available, p.budget) for p in plans], "source string, target_share double, max_repeats int, available_tokens bigint, budget_tokens bigint")
     sums = taken.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("t"), F.count("*").alias("texts"), F.max("repeats").alias("most_repeats"))
     all_tokens = taken.agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("all"))
-    joined = fixed.join(sums, "source", "left").withColumn("taken_tokens", F.coalesce("t", F.lit(0)))
+    largest = texts.groupBy("source").agg(F.max("n_tokens").alias("largest"))  # what a share can miss its budget by, at most
+    joined = fixed.join(sums, "source", "left").join(largest, "source", "left").withColumn("taken_tokens", F.coalesce("t", F.lit(0)))
     # one row of totals; joined on a constant key
     total = all_tokens.select(F.lit(1).alias("one"), F.coalesce("all", F.lit(0)).alias("all"))
     shares = joined.withColumn("one", F.lit(1)).join(total, "one").select(
-        "source", "target_share", "max_repeats", "available_tokens", "budget_tokens", "taken_tokens", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
+        "source", "target_share", "max_repeats", "available_tokens", "budget_tokens", "taken_tokens", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.coalesce("largest", F.lit(0)).alias("largest_text"),
         F.when(F.col("all") > 0, F.col("taken_tokens") / F.col("all")).otherwise(F.lit(0.0)).alias("actual_share"),
     )
     return taken, shares

@@ -63,6 +63,31 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.pieces(_t(spark, sf_dir, "text_lines"), _t(spark, sf_dir, "chunk_limits"))
 
 
+def p5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each profile and document the characters its pieces add, and whether they follow one another without a gap,
+    keep the limit and hold what they claim."""
+    made = p5_pieces(spark, sf_dir).join(_t(spark, sf_dir, "chunk_limits").select("profile", "max_chars", "overlap_chars"), "profile")
+    # a range [a, b) without gap or overlap: as many characters as its length, and the sums of starts and ends differ by just the last end
+    n = F.col("end_char") - F.col("start_char")
+    sums = made.groupBy("profile", "doc").agg(
+        F.sum(n).alias("chars"), F.max("end_char").alias("last"), F.sum(F.col("end_char") - F.col("start_char")).alias("_s"), F.countDistinct("start_char").alias("starts"), F.count("*").alias("pieces"),
+        F.max(F.length("text")).alias("longest"), F.max("max_chars").alias("most"), F.min((F.length("text") - F.col("overlap") == n).cast("int")).alias("held"),
+        F.min(((F.col("overlap") <= F.col("overlap_chars")) & ((F.col("start_char") == 0) | (2 * F.col("overlap") >= F.least("overlap_chars", "start_char")))).cast("int")).alias("repeated"),
+        F.sum(F.length(F.regexp_replace(F.expr("substring(text, overlap + 1)"), "[^\n]", ""))).alias("newlines"),
+    )
+    whole = (F.col("chars") == F.col("last")) & (F.col("starts") == F.col("pieces")) & (F.col("held") == 1)
+    return sums.select("profile", "doc", "chars", "newlines", whole.alias("whole"), (F.col("longest") <= F.col("most")).alias("within"), (F.col("repeated") == 1).alias("repeated"))
+
+
+def p6_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each profile and text whether it is in containers, whole and in order, and whether these keep their capacity."""
+    made = p6_assigned(spark, sf_dir)
+    room = made.groupBy("profile", "container").agg(F.sum("n_tokens").alias("held"))
+    full = room.where("container is not null").join(_t(spark, sf_dir, "pack_bins"), "profile").groupBy("profile").agg(F.max((F.col("held") > F.col("capacity_tokens")).cast("int")).alias("over"))
+    each = made.groupBy("profile", "doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("token_start") + F.col("n_tokens")).alias("last"), F.count("container").alias("placed"), F.countDistinct("piece_no").alias("parts"), F.count("*").alias("rows"))
+    return each.join(full, "profile", "left").select("profile", "doc_id", (F.col("placed") > 0).alias("placed"), ((F.col("n") == F.col("last")) & (F.col("parts") == F.col("rows"))).alias("whole"), (F.coalesce("over", F.lit(0)) == 0).alias("fits"))
+
+
 def p6_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "pack_bins"))
 
@@ -88,6 +113,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_targets"))[1]
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source named whether it has texts, keeps its repeats, and misses its budget by less than one text."""
+    taken, shares = mixing.mixture(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_targets"))
+    rows = taken.groupBy("source").agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids"))
+    missed = F.col("budget_tokens") - F.col("taken_tokens")
+    return shares.join(rows, "source", "left").select(
+        "source", (F.col("available_tokens") > 0).alias("present"), (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_kept"),
+        ((missed >= 0) & (missed <= F.col("largest_text"))).alias("near"), (F.coalesce("rows", F.lit(0)) == F.coalesce("ids", F.lit(0))).alias("once"),
+    )
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_spam.keyword_spam(_t(spark, sf_dir, "documents"), figures=False).where("stuffed").select("doc_id").distinct()
 
