@@ -28,6 +28,8 @@ from .lookalikes import _DROP
 
 #: documents the trees are fitted on, taken by hash order
 TRAIN_DOCS = 4000
+#: of so many surely labelled documents one is not fitted on but calibrates, with the hand-checked ones
+KEPT_APART = 5
 KINDS = ["prose", "list", "table", "junk"]
 
 MARKER = re.compile(r"^\s*(?:[•‣▪◦·–—*-]\s+\S|\(?[0-9]{1,4}[.)]\s+\S|\(?[A-Za-zА-я]{1,2}\)\s+\S|\[[0-9]{1,4}\]\s*\S)")
@@ -252,7 +254,8 @@ def document_sums(lines: DataFrame, judge: encoding_repair.Repairer, found: Data
 
 
 def fit(sums: DataFrame, model, train_docs: int = TRAIN_DOCS) -> Boosted:
-    """Fit the trees on at most ``train_docs`` documents, by hash order; calibrate on the holdout, which is never fitted on.
+    """Fit the trees on at most ``train_docs`` documents, by hash order; calibrate on the hand-checked holdout and a fifth of the
+    surely labelled documents, neither of which is fitted on.
 
     For a kind no document is surely of, a few written examples stand in.
     """
@@ -265,24 +268,27 @@ def fit(sums: DataFrame, model, train_docs: int = TRAIN_DOCS) -> Boosted:
     x = features(table)
     y = weak_labels(x) if len(x) else np.zeros(0, int)
     sure = y >= 0
-    missing = [k for k in range(len(KINDS)) if not (y[sure] == k).any()]
     x, y = x[sure], y[sure]
+    apart = np.arange(len(x)) % KEPT_APART == KEPT_APART - 1
+    xs, ys, x, y = x[apart], y[apart], x[~apart], y[~apart]
+    missing = [k for k in range(len(KINDS)) if not (y == k).any()]
     if missing:
         extra = [(KINDS.index(k), line_sums([clean(t) for t in ls], model).sum(0)) for k, ls in EXAMPLES if KINDS.index(k) in missing]
         x, y = np.concatenate([x, features(np.stack([r for _, r in extra]))]), np.concatenate([y, [k for k, _ in extra]])
-    return Boosted(KINDS).fit(x, y).calibrate(features(held), truth)
+    return Boosted(KINDS).fit(x, y).calibrate(np.concatenate([features(held), xs]), np.concatenate([truth, ys]))
 
 
 SCHEMA = "doc string, kind string, probability double, words bigint, mean_word_length double, symbol_ratio double, ends_share double, common_share double"
 
 
-def document_quality(text_lines: DataFrame) -> DataFrame:
+def document_quality(text_lines: DataFrame, keep_out: DataFrame | None = None) -> DataFrame:
     """Statistics and kind of every document of ``text_lines`` (doc, line_no, spans).
 
     words, mean_word_length, symbol_ratio (symbols of all characters but blanks), ends_share
     (lines that end in punctuation, of those with text), common_share (common words of all words),
     kind and its probability. Lines repeated exactly count once. A document without any text has all
-    statistics 0 and is junk with probability 1: there is nothing a reader could read.
+    statistics 0 and is junk with probability 1: there is nothing a reader could read. Documents of
+    ``keep_out`` (doc) are judged but never fitted on.
     """
     # a document, or a block of a long one, stays together, so that few partial sums leave a task
     lines = line_texts(text_lines).withColumn("bucket", F.floor(F.col("line_no") / BLOCK)).repartition("doc", "bucket").distinct()
@@ -290,7 +296,7 @@ def document_quality(text_lines: DataFrame) -> DataFrame:
     fitted = encoding_repair.fit_counts(encoding_repair.token_counts(raw))
     judge = fitted.judge
     sums = checkpointed(document_sums(lines, judge, encoding_repair.verdicts(fitted.asked, judge)))  # one narrow row a document
-    trees = fit(sums, judge.model)
+    trees = fit(sums if keep_out is None else sums.join(keep_out.select("doc"), "doc", "left_anti"), judge.model)
     sent = text_lines.sparkSession.sparkContext.broadcast((trees.trees, trees.temperature, trees.rate))
 
     def run(batches):
