@@ -114,9 +114,11 @@ class PdfExtractor:
         e = extract(files, None, self.options)
         lines = e.lines
         rows = lines.orderBy("line_no").collect()  # one document
-        failed = e.errors.take(1)
-        if failed:
-            raise ExtractionError(failed[0]["kind"], failed[0]["message"])
+        if not rows:  # a file that fails has no lines
+            failed = e.errors.take(1)
+            if failed:
+                raise ExtractionError(failed[0]["kind"], failed[0]["message"])
+        lines = spark.createDataFrame(rows, lines.schema)  # parsed once, rendered from the result
         text = lambda df: "".join(r["text"] + "\n" for r in df.orderBy("line_no").collect())
         made = [[TextSpan(s["text"], BoundingBox(s["bbox"]["t"], s["bbox"]["r"], s["bbox"]["b"], s["bbox"]["l"]), s["font_size"], s["page_num"], s["font_name"]) for s in r["spans"]] for r in rows]
         plain = "".join(" ".join(s.text for s in line) + "\n" for line in made)

@@ -38,7 +38,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "pdf_files").dropDuplicates(["doc"])
+    return text.distinct_files(_t(spark, d, "pdf_files"))
 
 
 def _given_spans(spark: SparkSession, d: str) -> DataFrame:

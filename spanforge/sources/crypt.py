@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+
 # Fixed value: the padding string of the standard security handler.
 PAD = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
 
@@ -53,6 +55,9 @@ def _sbox() -> tuple[bytes, bytes]:
 
 _BOX, _BACK = _sbox()
 _M = {k: bytes(_times(x, k) for x in range(256)) for k in (2, 3, 9, 11, 13, 14)}
+_BACK_TABLE = np.frombuffer(bytes(_BACK), np.uint8)
+_M_TABLE = {k: np.frombuffer(v, np.uint8) for k, v in _M.items()}
+_UNSHIFT = np.array([(i - 4 * (i % 4)) % 16 for i in range(16)])
 
 
 class Aes:
@@ -87,25 +92,29 @@ class Aes:
         return bytes(s)
 
     def decrypt(self, block: bytes) -> bytes:
-        s = [a ^ b for a, b in zip(block, self.keys[self.rounds])]
+        return self.decrypt_blocks(np.frombuffer(block, np.uint8)[None, :]).tobytes()
+
+    def decrypt_blocks(self, blocks: np.ndarray) -> np.ndarray:
+        """Any number of blocks at once, one a row."""
+        keys = [np.frombuffer(k, np.uint8) for k in self.keys]
+        s = blocks ^ keys[self.rounds]
         for r in range(self.rounds - 1, -1, -1):
-            s = [_BACK[s[(i - 4 * (i % 4)) % 16]] for i in range(16)]
-            s = [a ^ b for a, b in zip(s, self.keys[r])]
+            s = _BACK_TABLE[s[:, _UNSHIFT]] ^ keys[r]
             if r:
-                m9, mb, md, me, t = _M[9], _M[11], _M[13], _M[14], []
-                for c in range(0, 16, 4):
-                    a, b, d, e = s[c : c + 4]
-                    t += [me[a] ^ mb[b] ^ md[d] ^ m9[e], m9[a] ^ me[b] ^ mb[d] ^ md[e], md[a] ^ m9[b] ^ me[d] ^ mb[e], mb[a] ^ md[b] ^ m9[d] ^ me[e]]
-                s = t
-        return bytes(s)
+                c = s.reshape(-1, 4, 4)
+                a, b, d, e = (c[:, :, i] for i in range(4))
+                m9, mb, md, me = _M_TABLE[9], _M_TABLE[11], _M_TABLE[13], _M_TABLE[14]
+                s = np.stack([me[a] ^ mb[b] ^ md[d] ^ m9[e], m9[a] ^ me[b] ^ mb[d] ^ md[e], md[a] ^ m9[b] ^ me[d] ^ mb[e], mb[a] ^ md[b] ^ m9[d] ^ me[e]], axis=2).reshape(-1, 16)
+        return s
 
     def cbc_decrypt(self, iv: bytes, data: bytes, unpad: bool = True) -> bytes:
-        out = bytearray()
-        for i in range(0, len(data) - len(data) % 16, 16):
-            block = data[i : i + 16]
-            out += bytes(a ^ b for a, b in zip(self.decrypt(block), iv))
-            iv = block
-        if unpad and out and 1 <= out[-1] <= 16:
+        whole = len(data) - len(data) % 16
+        if not whole:
+            return b""
+        blocks = np.frombuffer(data[:whole], np.uint8).reshape(-1, 16)
+        before = np.vstack([np.frombuffer(iv, np.uint8)[None, :], blocks[:-1]])
+        out = bytearray((self.decrypt_blocks(blocks) ^ before).tobytes())
+        if unpad and 1 <= out[-1] <= 16:
             del out[-out[-1] :]
         return bytes(out)
 
