@@ -86,6 +86,19 @@ class CharModel:
         edges = np.flatnonzero(c == 2)
         return out[1:], edges[:-1]
 
+    def worst_run(self, strings: list[str]) -> np.ndarray:
+        """The least mean log probability of RUN characters in a row, by string; of all of them in a shorter one."""
+        if not strings:
+            return np.zeros(0)
+        lp, starts = self.logp(strings)
+        n = np.diff(np.append(starts, len(lp)))  # the mark after each string included
+        c = np.append(0.0, np.cumsum(lp))
+        runs = np.full(len(lp), np.inf)
+        runs[: len(lp) - RUN + 1] = (c[RUN:] - c[:-RUN]) / RUN
+        runs[np.arange(len(lp)) + RUN > np.repeat(starts + n - 1, n)] = np.inf
+        least = np.minimum.reduceat(runs, starts)
+        return np.where(np.isinf(least), (c[starts + n - 1] - c[starts]) / np.maximum(1, n - 1), least)
+
     def seen(self, word: str) -> float:
         """How often the whole word was counted."""
         return float(self.word[xxhash.xxh32_intdigest(word) & (WORD - 1)])
@@ -105,6 +118,10 @@ class CharModel:
 GATHER = 1 << 20
 
 
+#: characters of the runs ``CharModel.worst_run`` looks at
+RUN = 4
+
+
 def count_chars(df: DataFrame, pieces) -> CharModel:
     """Count the strings ``pieces(batch)`` gives for each Arrow batch of ``df``, over all rows.
 
