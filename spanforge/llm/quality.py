@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ VALUE = re.compile(r"^(?:[+–—-]|yes|no|n/a|na|nan|true|false|x|[A-Z]|[A-Z]{1
 FIELD = re.compile(r"^\s*[^:]{1,40}:\s*[+-]?\d[\d.,]*\s*\S{0,5}\s*$")
 #: closing marks and what ends a sentence before them
 CLOSING, ENDING = "\"'”’»)]」』", ".!?…。！？।॥؟;；"
+TURNING = ".?!,;。"
 TURNED = re.compile(r"^\s*[.?!,;。]\S")
 HEX = re.compile(r"^[0-9a-f]{2,}$")
 INNER = re.compile(r"[.!?…。！？।؟][\"'”’»)\]」』]*\s+[^\W\d_a-z]|[。！？]")
@@ -52,8 +54,13 @@ SUMS = (
 ).split()
 
 
+DROPPED = re.compile("[" + "".join(map(chr, _DROP)) + "]")
+#: what else than blanks parts tokens
+PARTING = re.compile("[\xa0\ue758-\uf8fe]")
+
+
 def clean(text: str) -> str:
-    return unicodedata.normalize("NFKC", text.translate(_DROP))
+    return unicodedata.normalize("NFKC", text.translate(_DROP) if DROPPED.search(text) else text)
 
 
 LETTER, DIGIT, SYMBOL, ODD, SPACELESS, BLANK = 1, 2, 4, 8, 16, 32
@@ -61,9 +68,10 @@ LETTER, DIGIT, SYMBOL, ODD, SPACELESS, BLANK = 1, 2, 4, 8, 16, 32
 
 @lru_cache(1)
 def _classes() -> np.ndarray:
-    """The classes of every code point."""
-    out = np.zeros(0x110000, np.uint8)
-    for cp in range(0x110000):
+    """The classes of every code point. Beyond the third plane all are private or unassigned but for one block."""
+    out = np.full(0x110000, ODD | SYMBOL, np.uint8)
+    for cp in (*range(0x34000), *range(0xE0000, 0xE0200)):
+        out[cp] = 0
         c = unicodedata.category(chr(cp))
         if c[0] in "LM":
             out[cp] = LETTER
@@ -127,9 +135,10 @@ def line_sums(texts: list[str], model) -> np.ndarray:
     rows, lines = [i for i, _ in stripped], [s for _, s in stripped]
     count = _class_counts(lines)
     n = np.fromiter(map(len, lines), np.float64, len(lines))
-    index: dict[str, int] = {}
     split = [s.split() for s in lines]
-    ids = np.fromiter((index.setdefault(w, len(index)) for ws in split for w in ws), np.int64)
+    words = list(chain.from_iterable(split))
+    index = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
     k = np.fromiter(map(len, split), np.int64, len(lines))
     owner = np.repeat(np.arange(len(lines)), k)
     by_word = word_figures(list(index), model)[ids]
@@ -138,19 +147,29 @@ def line_sums(texts: list[str], model) -> np.ndarray:
     unspaced = {x for ws in UNSPACED.values() for x in ws}
     for j in np.flatnonzero(spaceless > n // 3):
         w["common"][j] += sum(lines[j].count(x) for x in unspaced)
-    flags = np.zeros((6, len(lines)), bool)
-    inner = np.zeros(len(lines))
+    m = len(lines)
+    marker, leader, indexed, field, ends, turned, low_start = (np.zeros(m, bool) for _ in range(7))
+    inner = np.zeros(m)
     for j, s in enumerate(lines):
-        last, ends = s[-1], s.rstrip(CLOSING)[-1:]
-        leader = last.isalnum() and bool(LEADER.search(s))
-        indexed = last.isdigit() and bool(INDEXED.match(s))
-        flags[:, j] = (bool(MARKER.match(s)) or indexed or leader, leader, indexed, ":" in s and bool(FIELD.match(s)), ends != "" and ends in ENDING, bool(TURNED.match(s)))
+        first, last = s[0], s[-1]
+        if last.isalnum():
+            leader[j] = (".." in s or ". ." in s or "…" in s) and LEADER.search(s) is not None
+            indexed[j] = last.isdigit() and INDEXED.match(s) is not None
+        else:
+            closed = s.rstrip(CLOSING)[-1:]
+            ends[j] = closed != "" and closed in ENDING
+        if first in TURNING:
+            turned[j] = TURNED.match(s) is not None
+        elif first.islower():
+            low_start[j] = True
+        if not (first.isupper() and s[1:2].islower()):
+            marker[j] = MARKER.match(s) is not None
+        field[j] = ":" in s and FIELD.match(s) is not None
         inner[j] = len(INNER.findall(s))
-    marker, leader, indexed, field, ends, turned = flags
+    marker |= indexed | leader
     cells = w["numbers"] + w["values"]
     table = ~indexed & (field | (k >= 2) & (cells >= 0.5 * k) | (k >= 4) & (cells >= 0.4 * k))
     entry = marker * np.minimum(1.0, ENTRY / n)
-    low_start = np.fromiter((s[0].islower() for s in lines), bool, len(lines))
     vals = {
         "lines": 1, "chars": n, "letters": count[LETTER], "digits": count[DIGIT], "symbols": count[SYMBOL], "odd": count[ODD], "words": k, "word_chars": w["word_chars"], "common": w["common"], "ends": ends,
         "marker": entry, "leader": leader, "numbers": w["numbers"], "values": w["values"], "turned": turned, "hexes": w["hexes"], "inner": inner, "low_start": low_start, "logp": w["logp"], "scored": w["scored"],
@@ -218,16 +237,14 @@ class Mender:
     def mend(self, texts: list[str]) -> list[str]:
         """Each text beyond ASCII restored and in one plain form."""
         odd = [i for i, t in enumerate(texts) if not t.isascii()]
-        parts = {i: encoding_repair.PARTS.split(texts[i]) for i in odd}
+        parts = [encoding_repair.PARTS.split(t) if PARTING.search(t) else t.split(" ") for t in map(texts.__getitem__, odd)]
         fixes = self.fixes
         if fixes is None:
-            asked = sorted({p for ps in parts.values() for p in ps if not p.isascii()})
+            asked = sorted({p for ps in parts for p in ps if not p.isascii()})
             fixes = {t: f[0] for t, f in zip(asked, self.judge.judge(asked)) if f}
-        out = list(texts)
-        for i in odd:
-            if not fixes.keys().isdisjoint(parts[i]):
-                out[i] = "".join(fixes.get(p, p) for p in parts[i])
-            out[i] = clean(out[i])
+        out, known = list(texts), fixes.keys()
+        for i, ps in zip(odd, parts):
+            out[i] = clean(texts[i] if known.isdisjoint(ps) else encoding_repair.restore(texts[i], fixes))
         return out
 
 
