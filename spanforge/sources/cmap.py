@@ -66,7 +66,9 @@ def parse(data: bytes) -> CMap:
             for lo, hi, dst in zip(stack[::3], stack[1::3], stack[2::3]):
                 if not (isinstance(lo, bytes) and isinstance(hi, bytes)):
                     continue
-                a, b = _number(lo), min(_number(hi), _number(lo) + MOST_CODES)
+                a, b = _number(lo), _number(hi)
+                if b - a > MOST_CODES:
+                    raise ValueError(f"character map with a range of {b - a + 1} codes")
                 if isinstance(dst, list):
                     for code, d in zip(range(a, b + 1), dst):
                         s = unit_text(d) if isinstance(d, bytes) else None

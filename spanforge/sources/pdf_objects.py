@@ -406,8 +406,10 @@ class Document:
         return out
 
     def inherited(self, d: dict, name: str) -> Any:
-        """A page attribute, looked up through the parents."""
-        for _ in range(64):
+        """A page attribute, looked up through all parents; a parent met again ends the search."""
+        seen: set[int] = set()
+        while id(d) not in seen:
+            seen.add(id(d))
             v = self.key(d, name)
             if v is not None:
                 return v

@@ -75,7 +75,7 @@ class Font:
                     out[first + i] = g
         elif fmt in (12, 13):
             n = struct.unpack(">I", d[at + 12 : at + 16])[0]
-            for i in range(min(n, 100_000)):
+            for i in range(min(n, (len(d) - at - 16) // 12)):
                 a, b, g = struct.unpack(">III", d[at + 16 + 12 * i : at + 28 + 12 * i])
                 for c in range(a, min(b, a + 0x10FFFF) + 1):
                     out[c] = g + c - a if fmt == 12 else g
