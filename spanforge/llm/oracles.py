@@ -18,7 +18,7 @@ def oracle_sql() -> dict[str, str]:
         "p5_coverage": f"WITH {TEXTS} SELECT profile, doc, n AS chars, newlines, true AS whole, true AS within, true AS repeated FROM s JOIN chunk_limits ON n > max_chars",
         "p6_documents": "SELECT profile, doc_id, coalesce(length(text), 0) > 0 AS placed, true AS whole, true AS fits FROM documents, pack_bins",
         # a text belongs to the source of its least doc_id
-        "p7_checks": """WITH t AS (SELECT lower(trim(source)) AS source FROM mix_targets),
+        "p7_verified": """WITH t AS (SELECT lower(trim(source)) AS source FROM mix_targets),
           r AS (SELECT lower(trim(regexp_replace(source, '\\s+', ' ', 'g'))) AS source, doc_id, text FROM documents WHERE length(text) > 0),
           d AS (SELECT arg_min(source, doc_id) AS source FROM r WHERE source IN (SELECT source FROM t) GROUP BY text)
           SELECT source, source IN (SELECT source FROM d) AS present, true AS repeats_kept, true AS near, true AS once FROM t""",

@@ -113,7 +113,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_targets"))[1]
 
 
-def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p7_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each source named whether it has texts, keeps its repeats, and misses its budget by less than one text."""
     taken, shares = mixing.mixture(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_targets"))
     rows = taken.groupBy("source").agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids"))
