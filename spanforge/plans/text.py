@@ -59,9 +59,10 @@ def distinct_files(files: DataFrame) -> DataFrame:
 
     The names of repeated files are broadcast if they are few, which is asked first. Of different contents any one counts.
     """
-    repeated = checkpointed(files.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"))
+    repeated = checkpointed(files.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc").alias("_repeated")))
     names = F.broadcast(repeated) if repeated.count() <= MOST_REPEATED else repeated
-    return files.join(names, "doc", "left_anti").unionByName(files.join(names, "doc", "left_semi").dropDuplicates(["doc"]))
+    same = F.col("doc").eqNullSafe(F.col("_repeated"))
+    return files.join(names, same, "left_anti").unionByName(files.join(names, same, "left_semi").dropDuplicates(["doc"]))
 
 
 def extract(files: DataFrame, password: str | None = None, options: Options | None = None, pages: list[int] | None = None, mode: str = "PERMISSIVE") -> Extraction:

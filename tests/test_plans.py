@@ -249,3 +249,14 @@ def test_pretty_equals_the_model(spark):
         got.setdefault(r.doc, {})[r.line_no] = r.text
     for d, ls in docs.items():
         assert [got[d][i] for i in range(len(ls))] == grid_model(ls)
+
+
+@pytest.mark.parametrize("most", [50_000, -1])
+def test_repeated_files_count_once(spark, most, monkeypatch):
+    from spanforge.plans import text
+
+    monkeypatch.setattr(text, "MOST_REPEATED", most)
+    rows = [("a", bytearray(b"1"), "x"), ("b", bytearray(b"2"), None), ("a", bytearray(b"1"), "x"), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc string, content binary, n string")
+    got = text.distinct_files(df).collect()
+    assert sorted(str(r.doc) for r in got) == ["None", "a", "b"] and text.distinct_files(df.limit(0)).count() == 0
