@@ -112,6 +112,46 @@ def test_held_out_accuracy_of_repair(spark, corpus):
     assert sum(judge.accepts(f) for f in judge.best(words)) == 0
 
 
+def many_words():
+    """Some 3,000 Russian words of 30 rows each, and some 4,000 less regular French ones of one row each."""
+    rng = random.Random(5)
+    word = lambda parts: "".join(rng.choice(parts) for _ in range(rng.randrange(3, 7)))
+    usual = sorted({word(["во", "да", "ре", "ка", "но", "вый", "по", "сле", "ра", "ме", "ня", "ет", "ли", "ни"]) for _ in range(3300)})
+    rare = sorted({word([c + v for c in "bcdfglmnprstvz" for v in "aeiouéèô"]) + "é" for _ in range(4000)})
+    return [(w, 30 if w in set(usual) else 1) for w in usual + rare]
+
+
+def floor_of(words, model):
+    """The floor by all of ``words``, each with the logarithm of its number, without the oddest tenth."""
+    total, _, n = model.score([w for w, _ in words])
+    mean, weight = total / n, np.log2(np.array([k for _, k in words]) + 1.0)
+    at = np.argsort(mean)
+    mean, weight = mean[at], weight[at]
+    share = np.cumsum(weight) / weight.sum()
+    kept = np.searchsorted(share, 0.1)
+    share = np.cumsum(weight[kept:]) / weight[kept:].sum()
+    return mean[kept:][np.searchsorted(share, 0.01)] - 2.5
+
+
+def test_limits_come_from_all_tokens(spark):
+    words = many_words()
+    assert len(words) > 6000
+    counts = spark.createDataFrame([(w, n, n, 0) for w, n in words], "token string, clean bigint, times bigint, fonts bigint")
+    judge = encoding_repair.fit_counts(counts).judge
+    assert judge.floor == pytest.approx(floor_of(words, judge.model), abs=0.003)
+    damaged = [d for w, _ in words for d in [encoding_repair.damaged_once(w)] if d]
+    found = judge.best(damaged)
+    assert judge.gate >= -1 and len(damaged) > 1000 and sum(map(judge.accepts, found)) > 0.9 * len(damaged)
+
+
+def test_limits_are_the_same_each_time_and_set_without_tokens(spark):
+    counts = spark.createDataFrame([(w, n, n, 0) for w, n in many_words()[:300]], "token string, clean bigint, times bigint, fonts bigint")
+    a, b = (encoding_repair.fit_counts(c).judge for c in (counts, counts.repartition(3)))
+    assert (a.floor, a.gate, a.margin, a.east) == (b.floor, b.gate, b.margin, b.east)
+    none = encoding_repair.fit_counts(counts.limit(0)).judge
+    assert (none.floor, none.gate, none.margin, none.east) == (-5.5, -5.0, 5.0, 0.0)
+
+
 # problem 3
 
 
