@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.llm import chunking, consistent_form, encoding_repair, keyword_spam, mixing, packing, quality, sentences
+from spanforge.llm import chunking, consistent_form, encoding_repair, keyword_spam, mixing, packing, quality, queries, sentences
 from spanforge.llm.charmodel import BI, TRI, UNI, WORD, CharModel
 from spanforge.llm import lines as block_lines
 from spanforge.llm.lines import blocks, in_blocks, line_texts, measures
@@ -155,6 +155,16 @@ def test_limits_are_the_same_each_time_and_set_without_tokens(spark):
 # problem 3
 
 
+def test_form_of_spans_is_asked_of_a_judge_fitted_on_all_tokens(spark, tmp_path, monkeypatch):
+    words, fitted = many_words(), []
+    spans = [("d", 1, i, t, None, None, None) for i, t in enumerate([w for w, n in words for _ in range(n)] + ["de\ufb01nition", "de\ufb01nition r\ufffdp\ufffdte"])]
+    spark.createDataFrame(spans, SPAN).write.parquet(f"{tmp_path}/text_spans.parquet")
+    fit = encoding_repair.fit_counts
+    monkeypatch.setattr(encoding_repair, "fit_counts", lambda counts: fitted.append(fit(counts)) or fitted[-1])
+    assert [r.span_seq for r in queries.p3_found(spark, str(tmp_path)).collect()] == [len(spans) - 2]
+    assert fitted[0].judge.floor == pytest.approx(floor_of([*words, ("de\ufb01nition", 1)], fitted[0].judge.model), abs=0.003)
+
+
 @pytest.mark.parametrize("text,want", [
     ("Ｆｕｌｌ ｗｉｄｔｈ １２", "Full width 12"), ("ﬁnd the oﬃce", "find the office"), ("re\u0301seau", "réseau"), ("か\u3099", "が"), ("soft\u00adhy\u200bphen\ufeff", "softhyphen"), ("no\u00a0break\u2007blank", "no break blank"),
     ("Nеvа", "Neva"), ("Oпыт", "Опыт"), ("cοnditiοn", "condition"), ("τηv εκτίμηση", "την εκτίμηση"), ("sensօr ɑrchive", "sensor archive"), ("well‑known", "well-known"), ("５Å", "5Å"), ("Ⅳ ㎏", "IV kg"), ("ﻻ", "لا"), ("ｾﾝｻｰ", "センサー"), ("セン一サー", "センーサー"), ("\u0958 cafe\u0301", "\u0915\u093c café"), ("sensօr հօս", "sensor hou"),
