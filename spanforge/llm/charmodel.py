@@ -94,7 +94,7 @@ class CharModel:
         n = np.diff(np.append(starts, len(lp)))  # the mark after each string included
         c = np.append(0.0, np.cumsum(lp))
         runs = np.full(len(lp), np.inf)
-        runs[: len(lp) - RUN + 1] = (c[RUN:] - c[:-RUN]) / RUN
+        runs[: max(0, len(lp) - RUN + 1)] = (c[RUN:] - c[:-RUN]) / RUN
         runs[np.arange(len(lp)) + RUN > np.repeat(starts + n - 1, n)] = np.inf
         least = np.minimum.reduceat(runs, starts)
         return np.where(np.isinf(least), (c[starts + n - 1] - c[starts]) / np.maximum(1, n - 1), least)

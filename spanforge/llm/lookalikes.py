@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -71,13 +72,15 @@ def fullwidth_marks() -> tuple[str, str]:
 
 _TO_LATIN = str.maketrans(CYRILLIC + GREEK + OTHER, CYRILLIC_AS + GREEK_AS + OTHER_AS)
 _DROP = {0xAD: None, 0x200B: None, 0x200C: None, 0x200D: None, 0x200E: None, 0x2060: None, 0xFEFF: None, 0xA0: " ", 0x2010: "-", 0x2011: "-"}
+_TO_LATIN_ANY, _DROP_ANY = (re.compile(f"[{''.join(map(chr, table))}]") for table in (_TO_LATIN, _DROP))
 
 
 def plain_forms(token: str) -> list[str]:
     """The token without look-alikes, so that those are not taken for wrong decoding."""
-    bare = unicodedata.normalize("NFKC", token.translate(_DROP))
-    out = {bare, token.translate(_DROP)}
-    if any("a" <= c.lower() <= "z" for c in bare):
+    kept = token.translate(_DROP) if _DROP_ANY.search(token) else token
+    bare = unicodedata.normalize("NFKC", kept)
+    out = {bare, kept}
+    if _TO_LATIN_ANY.search(bare) and any("a" <= c.lower() <= "z" for c in bare):
         out.add(bare.translate(_TO_LATIN))
     out.discard(token)
     return sorted(out)

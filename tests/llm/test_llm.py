@@ -165,6 +165,45 @@ def test_form_of_spans_is_asked_of_a_judge_fitted_on_all_tokens(spark, tmp_path,
     assert fitted[0].judge.floor == pytest.approx(floor_of([*words, ("de\ufb01nition", 1)], fitted[0].judge.model), abs=0.003)
 
 
+def every_damage(word):
+    """``word`` under every pair of an encoding it may be written in and one it may be shown in, with the share of each."""
+    for right in encoding_repair.WRITTEN_IN:
+        for wrong in encoding_repair.SHOWN_AS:
+            try:
+                got = word.encode(right).decode(wrong)
+            except UnicodeError:
+                continue
+            if got != word and "\0" not in got and not encoding_repair.unreadable(got):
+                yield got, ((right == "utf_8") / 2 + 1 / 2 / len(encoding_repair.WRITTEN_IN)) / len(encoding_repair.SHOWN_AS)
+
+
+def test_form_of_spans_is_judged_under_limits_from_every_damage_of_every_token(spark, tmp_path, monkeypatch):
+    words, measured, judged = [w for w, _ in many_words()[::20]], [], []
+    spans = [("d", 1, i, t, None, None, None) for i, t in enumerate([*words, "de\ufb01nition"])]
+    spark.createDataFrame(spans, SPAN).write.parquet(f"{tmp_path}/text_spans.parquet")
+    measure, judge = encoding_repair.measured, encoding_repair.judged_tokens
+    monkeypatch.setattr(encoding_repair, "measured", lambda rows, model: measured.append((model, measure(rows, model))) or measured[-1][1])
+    monkeypatch.setattr(encoding_repair, "judged_tokens", lambda rows, j, **kw: judged.append((j, judge(rows, j, **kw))) or judged[-1][1])
+    assert [r.span_seq for r in queries.p3_found(spark, str(tmp_path)).collect()] == [len(words)]
+    assert len(measured) == len(judged) == 2
+    for model, rows in measured:
+        least = {r.token: r.least for r in rows.where("held").collect()}
+        assert len(least) > 300 and least == pytest.approx({w: max(model.score([d for d, _ in every_damage(w)])[1]) for w in least})
+    for j, rows in judged:
+        kept = rows.where("kept").collect()
+        assert len(kept) > 300
+        for r in kept[::10]:
+            damaged = list(every_damage(r.token))
+            worth = [j.worth(f) for f in j.best([d for d, _ in damaged])]
+            assert r.ways == pytest.approx(sum(s for _, s in damaged))
+            assert r.hits == pytest.approx([sum(s for (_, s), w in zip(damaged, worth) if w >= m) for m in encoding_repair.MARGINS])
+
+
+def test_worst_run_of_a_single_short_token():
+    model = CharModel(*(np.zeros(n, np.float32) for n in (UNI, BI, TRI, WORD)))
+    assert model.worst_run(["漢"]) == pytest.approx(model.worst_run(["漢", "漢字漢字漢字"])[:1])
+
+
 @pytest.mark.parametrize("text,want", [
     ("Ｆｕｌｌ ｗｉｄｔｈ １２", "Full width 12"), ("ﬁnd the oﬃce", "find the office"), ("re\u0301seau", "réseau"), ("か\u3099", "が"), ("soft\u00adhy\u200bphen\ufeff", "softhyphen"), ("no\u00a0break\u2007blank", "no break blank"),
     ("Nеvа", "Neva"), ("Oпыт", "Опыт"), ("cοnditiοn", "condition"), ("τηv εκτίμηση", "την εκτίμηση"), ("sensօr ɑrchive", "sensor archive"), ("well‑known", "well-known"), ("５Å", "5Å"), ("Ⅳ ㎏", "IV kg"), ("ﻻ", "لا"), ("ｾﾝｻｰ", "センサー"), ("セン一サー", "センーサー"), ("\u0958 cafe\u0301", "\u0915\u093c café"), ("sensօr հօս", "sensor hou"),
